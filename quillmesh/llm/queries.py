@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import decontaminate, language, pii, quality, secrets, substrings, token_counts, toxicity
+from quillmesh.llm import decontaminate, language, mixing, pii, quality, secrets, substrings, token_counts, toxicity
 from quillmesh.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_substring_dedup, op5_pii, op6_toxicity, op7_quality_rules, op9_language_id, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_mixing, op4_substring_dedup, op5_pii, op6_toxicity, op7_quality_rules, op9_language_id, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
