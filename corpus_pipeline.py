@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import secrets, toxicity
+from quillmesh.llm import decontaminate, mixing, near_dups, secrets, toxicity
 from quillmesh.llm.common import cut, table
 
 
@@ -12,11 +12,26 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group stays."""
+    return near_dups.keep_first(docs)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced by a mark."""
     return secrets.redact(docs)
 
 
-STAGES = [("toxicity", remove_toxic), ("secret_scans", redact_secrets)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: a row for each slot, with the text of its block and the doc_ids in it."""
+    return mixing.mix(docs)
+
+
+STAGES = [("toxicity", remove_toxic), ("near_dups", remove_near_copies), ("decontamination", remove_contaminated), ("secret_scans", redact_secrets), ("mixing", mix_sources)]
 
 #: Learnt models and sketches decide here, which SQL can't express.
 ORACLE_SQL = None

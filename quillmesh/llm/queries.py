@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import decontaminate, language, mixing, pii, quality, secrets, substrings, token_counts, toxicity
+from quillmesh.llm import decontaminate, language, mixing, near_dups, pii, quality, secrets, substrings, token_counts, toxicity
 from quillmesh.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_mixing, op4_substring_dedup, op5_pii, op6_toxicity, op7_quality_rules, op9_language_id, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_mixing, op4_substring_dedup, op5_pii, op6_toxicity, op7_quality_rules, op8_near_dups, op9_language_id, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
