@@ -70,7 +70,7 @@ def places_of_alerts(alerts: DataFrame, field: str = "municipios") -> DataFrame:
     x = alerts.select(block.alias("_b")).select(F.trim("_b").alias("_b")).where("_b <> ''")
     dept = F.trim(F.regexp_extract("_b", r"\(([^)]+)\)\s*$", 1))
     town = F.explode(F.split(F.regexp_replace("_b", r"\s*\([^)]+\)\s*$", ""), ","))
-    towns = x.select(F.trim(town).alias("name")).where(F.length("name") >= 4).select("name", F.lit("MUNICIPIO").alias("type"), F.lit(1).alias("prio"))
+    towns = x.select(town.alias("name")).select(F.trim("name").alias("name")).where(F.length("name") >= 4).select("name", F.lit("MUNICIPIO").alias("type"), F.lit(1).alias("prio"))
     depts = x.select(dept.alias("name")).where("name <> ''").select("name", F.lit("DEPARTAMENTO").alias("type"), F.lit(0).alias("prio"))
     return depts.union(towns).groupBy("name").agg(F.min_by("type", "prio").alias("type")).withColumn("prio", F.lit(0))
 
