@@ -66,6 +66,25 @@ def encode(df: DataFrame, encoder: Encoder, text: str, out: str = "v", is_query:
     return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
+def encode_changed(rows: DataFrame, kept: DataFrame, encoder: Encoder, text: str) -> DataFrame:
+    """rows (row_id, text) with vectors: those of kept (row_id, text_hash, v) where the text is the same, else new ones.
+
+    The cache is keyed by a hash of what is encoded, so rows that moved or changed are found by an equi-join.
+    """
+    x = rows.withColumn("text_hash", F.xxhash64(F.lit(encoder.slug), F.col(text)))
+    old = x.join(kept.select("row_id", "text_hash", "v"), ["row_id", "text_hash"])
+    new = encode(x.join(kept.select("row_id", "text_hash"), ["row_id", "text_hash"], "left_anti"), encoder, text)
+    return old.unionByName(new.select(old.columns))
+
+
+def misaligned(rows: DataFrame, index: DataFrame, encoder: Encoder, text: str, least: float = 0.98, every: int = 1) -> DataFrame:
+    """row_id, cosine of rows whose stored vector isn't that of their text; every: one in so many rows is encoded again."""
+    from quillmesh.operators.vectors import dot
+
+    again = encode(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(every)) == 0).select("row_id", text), encoder, text, "_again")
+    return again.join(index.select("row_id", "v"), "row_id").select("row_id", dot(F.col("v"), F.col("_again")).alias("cosine")).where(F.col("cosine") < least)
+
+
 def token_count(text: Column) -> Column:
     """Tokens where no tokenizer is plugged in: runs of letters and digits, and single other signs."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"))

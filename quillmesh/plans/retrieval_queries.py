@@ -251,3 +251,50 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return activity(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
+
+
+@query()
+def search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question through chunks, three encoders, fusion, prior, copies, diversity and expansion.
+
+    The tables of the index, which search.build() would write, are made here and cached.
+    """
+    from pyspark.sql import functions as f
+
+    from quillmesh.config import Settings
+    from quillmesh.plans import search
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", (f.col("doc_id") % 3 + 1).alias("class"))
+    settings = Settings(encoders=("hash_a", "hash_b"))
+    rows = search.rows_of(docs).persist()
+    tables = {"rows": rows}
+    v = [encoders.encode(rows.select("row_id", "embed_text", "doc", "class"), encoders.ENCODERS[s], "embed_text").withColumn("slug", f.lit(s)).persist() for s in settings.encoders]
+    tables["vectors"] = v[0].unionByName(v[1]).select("row_id", "v", "slug")
+    for key in ("class", "doc"):
+        parts = [vectors.centroids(x, key).withColumn("slug", f.lit(s)) for x, s in zip(v, settings.encoders, strict=True)]
+        tables[f"{key}_centroids"] = parts[0].unionByName(parts[1])
+    r = search.Retriever.__new__(search.Retriever)
+    r.settings, r.table, r.rows, r.vectors, r.use_graph = settings, tables.__getitem__, rows, tables["vectors"], False
+    found, frags = r.search(_questions(spark, sf_dir))
+    return sinks.result_objects(found, frags).select("query_id", F.to_json("documents").alias("documents"), F.size("fragments").alias("n_fragments"))
+
+
+@query()
+def known_item_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of documents as queries; how well the lexical list finds their documents again."""
+    rows = _rows(spark, sf_dir)
+    known = evaluation.known_items(rows, 200)
+    hits = bm25.search(known.select("qid", "text"), *bm25.index(rows), 60)
+    docs = ranking.top_documents(ranking.roll_up(hits, rows), 10)
+    return evaluation.probe(docs.select("qid", "doc", "rnk"), known.select("qid", "doc")).select(*(F.round(c, 6).alias(c) for c in ("recall_3", "recall_10", "mrr", "ndcg_10")), "n")
+
+
+@query()
+def title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of sources as queries."""
+    rows = _rows(spark, sf_dir)
+    titles = rows.groupBy("doc").agg(F.substring(F.get(F.split(F.min_by("text", "row_id"), "\n"), F.lit(0)), 1, 120).alias("title"))
+    known = evaluation.title_queries(titles, 200)
+    hits = bm25.search(known.select("qid", "text"), *bm25.index(rows), 60)
+    docs = ranking.top_documents(ranking.roll_up(hits, rows), 10)
+    return evaluation.probe(docs.select("qid", "doc", "rnk"), known.select("qid", "doc")).select(*(F.round(c, 6).alias(c) for c in ("recall_3", "recall_10", "mrr", "ndcg_10")), "n")

@@ -99,3 +99,28 @@ def test_stream_appends_and_restarts(spark, tmp_path):
     assert table.count() == 3
     now = {r["doc_id"]: r["text"] for r in ingest.latest(table.withColumn("arrived", F.col("arrived"))).collect()}
     assert now["a"].startswith("second") and len(now) == 2
+
+
+def test_index_is_built_and_searched(spark, tmp_path):
+    from quillmesh.config import Settings
+    from quillmesh.operators import encoders, graph, validation
+    from quillmesh.plans import search
+    from quillmesh.sources import sinks
+
+    topics = ["Orbital debris grows in low orbit every year. NASA said so.", "Illegal mining harms the rivers of the forest. NASA saw it.", "Machine learning helps to find patterns in the data. NASA uses it."]
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"{topics[i % 3]} Note {w} stands here for number {w}." for w in ("one", "two", "three", "four")[: 2 + i % 3]), i % 3 + 1, "en") for i in range(9)], "doc_id string, text string, class int, lang string")
+    settings = Settings(encoders=("hash_a", "hash_c"), n_documents=2, n_fragments=3).at(str(tmp_path / "index"))
+    gaz = graph.gazetteer(spark.createDataFrame([("NASA", "NASA", "ORG", 0), ("orbital debris", "debris", "T", 1), ("mining", "mining", "T", 2)], "alias string, canonical string, type string, prio int"))
+    search.build(docs, settings, gaz)
+    queries = spark.createDataFrame([("q1", "orbital debris in low orbit"), ("q2", "illegal mining of rivers")], "qid string, text string")
+    found, frags = search.Retriever(spark, settings).search(queries)
+    first = {r["qid"]: int(r["doc"][1:]) % 3 for r in found.where("rnk = 1").collect()}
+    assert first == {"q1": 0, "q2": 1} and frags.count() == 6
+    out = str(tmp_path / "results")
+    sinks.write_jsonl(sinks.result_objects(found, frags), out)
+    assert validation.differences(sinks.result_objects(found, frags), spark.read.json(out)).count() == 0
+    rows, kept = spark.read.parquet(settings.path("rows")), spark.read.parquet(settings.path("vectors")).where("slug = 'hash_a'")
+    e = encoders.ENCODERS["hash_a"]
+    assert encoders.misaligned(rows, kept, e, "embed_text").count() == 0
+    cache = encoders.encode_changed(rows.select("row_id", "embed_text"), kept.select("row_id", F.lit(0).cast("long").alias("text_hash"), "v"), e, "embed_text")
+    assert cache.count() == rows.count() and "<li>" in sinks.review_html(sinks.result_objects(found, frags))
