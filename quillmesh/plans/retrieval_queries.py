@@ -25,16 +25,21 @@ def lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return bm25.search(_questions(spark, sf_dir), *bm25.index(_rows(spark, sf_dir)), k)
 
 
-_BM25 = f"""
-    tok AS (SELECT doc_id AS row_id, source AS doc, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT row_id, doc, term, count(*) AS tf FROM tok GROUP BY ALL),
+def _bm25_sql(questions: str) -> str:
+    """Tables of the BM25 program; questions: SQL of (qid, text)."""
+    return f"""
+    questions AS ({questions}),    tok AS (SELECT doc_id AS row_id, source AS doc, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT row_id, doc, term, count(*) AS tf FROM tok GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), post AS (SELECT tf.*, df FROM tf JOIN df USING (term)),
     len AS (SELECT row_id, sum(tf) AS len FROM post GROUP BY row_id), corpus AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(len) FROM len) / (SELECT count(*) FROM documents)::DOUBLE AS avgdl),
-    qt AS (SELECT DISTINCT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark),
+    qt AS (SELECT DISTINCT qid, unnest({TOKENS}) AS term FROM questions),
     bs AS (SELECT qid, row_id, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 9) AS score
       FROM qt JOIN post USING (term) JOIN len USING (row_id), corpus GROUP BY qid, row_id, doc),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rnk FROM bs WHERE score > 0)"""
 
 
+_BM25 = _bm25_sql("SELECT item_id AS qid, text FROM benchmark")
+
+
 @query(f"WITH {_BM25} SELECT qid, row_id, round(score, 6) AS score, rnk FROM ranked WHERE rnk <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir, 10).select("qid", "row_id", F.round("score", 6).alias("score"), F.col("rnk").cast("long"))
@@ -210,7 +215,11 @@ def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.result_violations(_results(spark, sf_dir), 40)
 
 
-@query()
+@query(f"""
+    WITH {_BM25}, d AS (SELECT qid, doc, max(score) AS score FROM ranked WHERE rnk <= 60 GROUP BY qid, doc), t AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM d QUALIFY r <= 3),
+    j AS (SELECT qid, '[' || string_agg('{{"rank":' || r || ',"doc_id":"' || doc || '"}}', ',' ORDER BY r) || ']' AS documents FROM t GROUP BY qid),
+    c AS (SELECT qid, row_number() OVER (PARTITION BY qid, doc ORDER BY rnk) AS k FROM ranked WHERE rnk <= 60), f AS (SELECT qid, least(count(*), 10)::INTEGER AS n_fragments FROM c WHERE k <= 3 GROUP BY qid)
+    SELECT j.qid AS query_id, documents, n_fragments FROM j JOIN f ON f.qid = j.qid""")
 def result_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("query_id", F.to_json("documents").alias("documents"), F.size("fragments").alias("n_fragments"))
 
@@ -279,7 +288,15 @@ def search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.result_objects(found, frags).select("query_id", F.to_json("documents").alias("documents"), F.size("fragments").alias("n_fragments"))
 
 
-@query()
+_PROBE = """    d AS (SELECT qid, doc, max(score) AS score FROM ranked WHERE rnk <= 60 GROUP BY qid, doc), t AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM d QUALIFY r <= 10),
+    a AS (SELECT k.qid, t.r FROM known k LEFT JOIN t ON t.qid = k.qid AND t.doc = k.doc)
+    SELECT round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr,
+      round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0 END), 6) AS ndcg_10, count(*) AS n FROM a"""
+_KNOWN = f"SELECT doc_id AS qid, source AS doc, array_to_string(({_W('text').replace('lower(text)', 'text')})[1:45], ' ') AS text FROM documents WHERE len({_W('text')}) >= 60 ORDER BY md5(doc_id::VARCHAR) LIMIT 200"
+_TITLED = "SELECT source AS qid, source AS doc, substr(string_split(arg_min(text, doc_id), chr(10))[1], 1, 120) AS text FROM documents GROUP BY source HAVING length(substr(string_split(arg_min(text, doc_id), chr(10))[1], 1, 120)) >= 15 ORDER BY md5(source) LIMIT 200"
+
+
+@query(f"WITH known AS ({_KNOWN}), {_bm25_sql('SELECT qid, text FROM known')}, {_PROBE}")
 def known_item_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of documents as queries; how well the lexical list finds their documents again."""
     rows = _rows(spark, sf_dir)
@@ -289,7 +306,7 @@ def known_item_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.probe(docs.select("qid", "doc", "rnk"), known.select("qid", "doc")).select(*(F.round(c, 6).alias(c) for c in ("recall_3", "recall_10", "mrr", "ndcg_10")), "n")
 
 
-@query()
+@query(f"WITH known AS ({_TITLED}), {_bm25_sql('SELECT qid, text FROM known')}, {_PROBE}")
 def title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of sources as queries."""
     rows = _rows(spark, sf_dir)
