@@ -6,8 +6,9 @@ they are in the corpus and the rarest is its prefix. Documents' words join the p
 bound discard places where the window can't lie, the word on one side must agree, and the aligned words are then
 compared exactly as far as windows reach. The words of every confirmed run are hit.
 
-The prefixes are broadcast in blocks of at most `block_rows` rows, each against all documents; a larger benchmark
-takes more blocks, never a larger broadcast.
+The prefixes are taken in blocks of at most `block_keys` words, each against all documents; a larger benchmark takes
+more blocks, never a larger broadcast. Only the words around a place that may start a match leave the array of a
+document's words, so rows stay short however long the text.
 
 Null or empty text: no words, nothing hit. Items without words have no window; an item whose id is null marks words
 but isn't listed. Rows with one doc_id and one text have equal results; a doc_id may be null. Extra columns are not
@@ -24,16 +25,17 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import cut
 
 WIDTH = 10
-#: Rows in one broadcast: a row holds at most 2 * WIDTH words.
-BLOCK_ROWS = 100_000
+#: Prefix words in one pass over the documents, and distinct words of a benchmark that are broadcast to be counted.
+BLOCK_KEYS = 50_000
+BROADCAST_WORDS = 1_000_000
 #: Fixed by the contract: a word is a run of digits, letters and all beyond ASCII. Case is left for later: full
 #: lower-casing is cheap and never splits a word, so it finds candidates; A-Z alone are lowered to confirm them.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def lowered(a: Column) -> Column:
@@ -46,7 +48,7 @@ def prefixes(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame
     own = items.select("item_id", lowered(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
     vocabulary = own.select(F.explode("w").alias("w")).select(F.lower("w").alias("key")).distinct()
     counts = docs.select(F.explode(words(F.col("text"))).alias("_w")).select(F.lower("_w").alias("key"))
-    counts = counts.join(vocabulary if vocabulary.count() > BLOCK_ROWS * 10 else F.broadcast(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(vocabulary if vocabulary.count() > BROADCAST_WORDS else F.broadcast(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     window = own.select("item_id", "w", F.least(F.size("w"), F.lit(width)).alias("need")).withColumn("at", F.explode(F.expr("sequence(1, size(w) - need + 1)")))
     spot = window.select("item_id", "w", "need", "at", F.explode(F.expr("sequence(at, at + need - 1)")).alias("pos")).withColumn("key", F.lower(F.element_at("w", F.col("pos"))))
     rarest = spot.join(counts, "key", "left").groupBy("item_id", "w", "need", "at").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "pos")).alias("p"))
@@ -67,22 +69,20 @@ def _agree(theirs: Column, ours: Column) -> Column:
     return F.when(F.size(differ) == 0, F.least(F.size(theirs), F.size(ours))).otherwise(first - 1)
 
 
-def runs(docs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """doc_id, _h, item_id, first, last: confirmed runs of words, numbered from 1."""
+def runs(docs: DataFrame, prefix: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
+    """doc_id, _h, item_id, first, last: confirmed runs of words, numbered from 1. keys: the key of each prefix."""
     d = docs.select("doc_id", F.xxhash64("text").alias("_h"), words(F.col("text")).alias("_w"))
-    d = d.select("doc_id", "_h", "_w", F.posexplode("_w").alias("_p", "_x")).withColumn("key", F.lower("_x")).withColumn("_p", F.col("_p") + 1)
-    before, after = F.lower(F.get("_w", F.col("_p") - 2)), F.lower(F.get("_w", F.col("_p")))
+    at = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: F.lower(F.get("_w", i - 1)).isin(keys))
+    low = lambda i: F.greatest(F.lit(1), i - (width - 1))
+    around = F.transform(at, lambda i: F.struct(i.alias("p"), F.get("_w", i - 1).alias("x"), F.reverse(F.slice("_w", low(i), i - low(i))).alias("l"), F.slice("_w", i + 1, width - 1).alias("r")))
+    d = d.where(F.size("_w") > 0).select("doc_id", "_h", F.size("_w").alias("_n"), F.explode(around).alias("_c")).select("doc_id", "_h", "_n", "_c.*", F.lower("_c.x").alias("key"))
     # length and positional bounds, and the nearest word on one side
-    fits = (F.size("_w") >= F.col("need")) & (
-        (F.col("need") == 1) | before.eqNullSafe(F.lower(F.get("left", F.lit(0)))) & before.isNotNull() | after.eqNullSafe(F.lower(F.get("right", F.lit(0)))) & after.isNotNull()
-    )
+    same = lambda ours, theirs: (F.lower(F.get(ours, F.lit(0))) == F.lower(F.get(theirs, F.lit(0))))
+    fits = (F.col("_n") >= F.col("need")) & ((F.col("need") == 1) | F.coalesce(same("l", "left"), F.lit(False)) | F.coalesce(same("r", "right"), F.lit(False)))
     p = prefix.withColumnRenamed("key", "_key")
-    found = d.join(F.broadcast(p), (F.col("key") == F.col("_key")) & fits)
-    ours_left = lowered(F.expr("reverse(slice(_w, greatest(1, _p - size(left)), _p - greatest(1, _p - size(left))))"))
-    ours_right = lowered(F.expr("slice(_w, _p + 1, size(right))"))
-    found = found.where(F.translate("_x", UPPER, LOWER) == F.col("word"))
-    found = found.select("doc_id", "_h", "item_id", "_p", "need", _agree(F.col("left"), ours_left).alias("_l"), _agree(F.col("right"), ours_right).alias("_r"))
-    return found.where(F.col("_l") + F.col("_r") + 1 >= F.col("need")).select("doc_id", "_h", "item_id", (F.col("_p") - F.col("_l")).alias("first"), (F.col("_p") + F.col("_r")).alias("last"))
+    found = d.join(F.broadcast(p), (F.col("key") == F.col("_key")) & fits).where(F.translate("x", UPPER, LOWER) == F.col("word"))
+    found = found.select("doc_id", "_h", "item_id", "p", "need", _agree(F.col("left"), lowered(F.col("l"))).alias("_l"), _agree(F.col("right"), lowered(F.col("r"))).alias("_r"))
+    return found.where(F.col("_l") + F.col("_r") + 1 >= F.col("need")).select("doc_id", "_h", "item_id", (F.col("p") - F.col("_l")).alias("first"), (F.col("p") + F.col("_r")).alias("last"))
 
 
 def covered(spans: Column) -> Column:
@@ -92,12 +92,16 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """doc_id, _h, spans (sorted, of hit words), item_ids (sorted as strings): documents with a window only."""
     prefix = cut(prefixes(docs, items, width), "prefixes")
-    blocks = -(-prefix.count() // block_rows) or 1
+    blocks = -(-prefix.select("key").distinct().count() // block_keys) or 1
     number = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    found = reduce(DataFrame.unionAll, [runs(docs, prefix.where(number == b) if blocks > 1 else prefix) for b in range(blocks)])
+    parts = []
+    for b in range(blocks):
+        own = prefix.where(number == b)
+        parts.append(runs(docs, own, [r["key"] for r in own.select("key").distinct().collect()], width))
+    found = reduce(DataFrame.unionAll, parts)
     return found.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
 
 
