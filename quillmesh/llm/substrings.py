@@ -1,8 +1,8 @@
 """Substring dedup by hashing lines and the sentences of long lines.
 
-Units: a line of at most `line_words` words is one unit; a longer line is split after . ! or ? and a blank, so a
-passage that was pasted into the middle of a line still yields whole units. A unit is normalised to its lower-case
-words. Digests are grouped over all documents; the occurrence of least (doc_id, unit number) stays and the others
+Units: a line of at most `line_chars` characters is one unit; a longer line is split after . ! or ? and a blank (a long
+sentence after , ; or :, too), so a passage that was pasted into the middle of a line still yields whole units. A unit is normalised to its lower-case
+words, without ASCII signs. Digests are grouped over all documents; the occurrence of least (doc_id, unit number) stays and the others
 go. The words just before and just after a removed unit go too as far as they equal, word by word, those beside
 the kept occurrence (at most `EDGE_WORDS` on either side), which restores the ends of a passage whose first or
 last sentence runs on into other text. Offsets are code points of the original text, end exclusive.
@@ -23,116 +23,139 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import cut as written
 from quillmesh.llm.common import partitions
 
-LINE_WORDS = 12
+LINE_CHARS = 80
 MIN_WORDS, MIN_SENTENCE = 3, 5
-EDGE_WORDS = 10
-WORD = re.compile(r"\w+")
+EDGE_WORDS = 12
 SENTENCE = re.compile(r"[.!?][\"')\]]*\s+")
+#: A sentence of more characters is split at these, too.
+SENTENCE_CHARS = 160
+CLAUSE = re.compile(r"[,;:]\s+")
+#: ASCII signs and controls stand between words; all else is part of one.
+_SIGNS = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
+_SIGN_CHARS = {i: " " for i in range(128) if not chr(i).isalnum()}
 LAST = (1 << 63) - 1
 
 
-def units(text: str, line_words: int = LINE_WORDS, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> Iterator[tuple[int, int, list[str], bool]]:
+def normalised(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SIGNS).split()
+
+
+def units(text: str, line_chars: int = LINE_CHARS, min_words: int = MIN_WORDS, min_sentence: int = MIN_SENTENCE) -> Iterator[tuple[int, int, list[bytes], bool]]:
     """(start, end, normalised words, eligible) of each unit that has a word."""
     at = 0
-    while at <= len(text):
-        stop = text.find("\n", at)
-        stop = len(text) if stop < 0 else stop
-        line = text[at:stop]
-        words = WORD.findall(line.lower())
-        if 0 < len(words) <= line_words:
-            yield at, stop, words, len(words) >= min_words
-        elif words:
+    for line in text.split("\n"):
+        if len(line) > line_chars:
             a = 0
-            for m in [*SENTENCE.finditer(line), None]:
-                b = m.end() if m else len(line)
-                if own := WORD.findall(line[a:b].lower()):
-                    yield at + a, at + b, own, len(own) >= min_sentence
-                a = b
-        at = stop + 1
+            for end in [*(m.end() for m in SENTENCE.finditer(line)), len(line)]:
+                for b in [*(m.end() for m in CLAUSE.finditer(line, a, end)), end] if end - a > SENTENCE_CHARS else [end]:
+                    if own := normalised(line[a:b]):
+                        yield at + a, at + b, own, len(own) >= min_sentence
+                    a = b
+        elif own := normalised(line):
+            yield at, at + len(line), own, len(own) >= min_words
+        at += len(line) + 1
 
 
-def _marks(words: list[str], hashes: dict[str, bytes]) -> list[bytes]:
-    """Two bytes for each word."""
-    import xxhash
+class Marks(dict):
+    """Two bytes for each word, kept while there are not too many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
 
-    for w in words:
-        if w not in hashes:
-            if len(hashes) > 300_000:
-                hashes.clear()
-            hashes[w] = xxhash.xxh32_digest(w.encode("utf-8", "surrogatepass"))[:2]
-    return [hashes[w] if w in hashes else xxhash.xxh32_digest(w.encode("utf-8", "surrogatepass"))[:2] for w in words]
+        if len(self) > 500_000:
+            self.clear()
+        m = self[word] = xxhash.xxh32_digest(word)[:2]
+        return m
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """digest, _id, _h (of the text), idx, before, after: a row for each eligible unit."""
+def occurrences(docs: DataFrame, edges: bool) -> DataFrame:
+    """digest, _id, _h (of the text), idx: a row for each eligible unit; with edges, also the words beside it (before, after)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        hashes: dict[str, bytes] = {}
+        marks = Marks()
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                rows = []
-                for doc, h, text in batch.iloc[at : at + 200].itertuples(index=False):
+            for at in range(0, len(batch), 500):
+                digest, ids, hs, idxs, before, after = [], [], [], [], [], []
+                for doc, h, text in batch.iloc[at : at + 500].itertuples(index=False):
                     got = list(units(text or ""))
-                    marks = _marks([w for u in got for w in u[2]], hashes)
+                    line = b"".join([marks[w] for u in got for w in u[2]]) if edges else b""
                     pos = 0
                     for idx, (_, _, words, eligible) in enumerate(got):
-                        n = len(words)
+                        end = pos + 2 * len(words)
                         if eligible:
-                            rows.append((xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")), doc, h, idx, b"".join(marks[max(0, pos - EDGE_WORDS) : pos]), b"".join(marks[pos + n : pos + n + EDGE_WORDS])))
-                        pos += n
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pd.DataFrame({"digest": np.array(cols[0], np.uint64).astype(np.int64), "_id": cols[1], "_h": cols[2], "idx": cols[3], "before": cols[4], "after": cols[5]})
-
-    return docs.select("_id", "_h", "text").mapInPandas(scan, "digest long, _id long, _h long, idx int, before binary, after binary")
+                            digest.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                            ids.append(doc)
+                            hs.append(h)
+                            idxs.append(idx)
+                            if edges:
+                                before.append(line[max(0, pos - 2 * EDGE_WORDS) : pos])
+                                after.append(line[end : end + 2 * EDGE_WORDS])
+                        pos = end
+                if digest:
+                    out = pd.DataFrame({"digest": np.array(digest, np.uint64).astype(np.int64), "_id": ids, "_h": hs, "idx": np.array(idxs, np.int32)})
+                    yield out.assign(before=before, after=after) if edges else out
+
+    return docs.select("_id", "_h", "text").mapInPandas(scan, "digest long, _id long, _h long, idx int" + ", before binary, after binary" * edges)
+
+
+def place(text: str, got: list, starts: np.ndarray, number: int) -> tuple[int, int]:
+    """Start and end of a word, by its number among the words of all units."""
+    n = int(np.searchsorted(starts, number, "right")) - 1
+    a, b, _, _ = got[n]
+    words = [(a + m.start(), a + m.end()) for m in re.finditer("[^ ]+", text[a:b].translate(_SIGN_CHARS))]
+    return words[number - int(starts[n])]
+
+
+def later_occurrences(docs: DataFrame, salts: int) -> DataFrame:
+    """_id, _h, idx, before, after: units to remove, with the words beside the occurrence that stays.
+
+    The first occurrences are found with map-side combine, so a unit that is in a third of all rows reaches no task as
+    rows; the occurrences then meet them over (digest, salt).
+    """
+    first = occurrences(docs, True).groupBy("digest").agg(F.min(F.struct("_id", "_h", "idx", "before", "after")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = written(first.where("_n > 1").select("digest", "_first"), "first")
+    occ = written(occurrences(docs, False), "occurrences").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    found = occ.join(occ.select("digest", "_salt").distinct().join(first, "digest"), ["digest", "_salt"])
+    f = F.col("_first")
+    return found.where((F.col("_id") != f["_id"]) | (F.col("_h") != f["_h"]) | (F.col("idx") != f["idx"])).select("_id", "_h", "idx", f["before"].alias("before"), f["after"].alias("after"))
 
 
 def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
-    """doc_id, text without later occurrences, n_units, n_removed, removed (array of start, end in the original text)."""
+    """doc_id, text without later occurrences, n_removed, removed (array of start, end in the original text)."""
     salts = salts or max(64, partitions(docs.sparkSession))
     own = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
-    occ = occurrences(own).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    part = occ.groupBy("digest", "_salt").agg(F.min(F.struct("_id", "_h", "idx", "before", "after")).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    first = part.groupBy("digest").agg(F.min("_m").alias("_first"), F.sum("_n").alias("_n"), F.collect_list("_salt").alias("_salts")).where("_n > 1").select("digest", "_first", F.explode("_salts").alias("_salt"))
-    later = (
-        occ.select("digest", "_salt", "_id", "_h", "idx").join(first, ["digest", "_salt"])
-        .where((F.col("_id") != F.col("_first._id")) | (F.col("_h") != F.col("_first._h")) | (F.col("idx") != F.col("_first.idx")))
-        .groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("idx", "_first.before", "_first.after"))).alias("_gone"))
-    )
+    later = later_occurrences(own, salts).groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("idx", "before", "after"))).alias("_gone"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: dict[str, bytes] = {}
+        marks = Marks()
         for batch in batches:
             rows = []
             for text, gone in zip(batch["text"], batch["gone"], strict=True):
-                got = list(units(text or ""))
                 if gone is None or not len(gone):
-                    rows.append((text, len(got), 0, []))
+                    rows.append((text, 0, []))
                     continue
-                flat = [w for u in got for w in u[2]]
-                marks = _marks(flat, hashes)
+                got = list(units(text or ""))
+                line = [w for u in got for w in u[2]]
                 starts = np.cumsum([0, *(len(u[2]) for u in got)])
-                places = None
                 spans = []
                 for g in gone:
                     idx, before, after = g["idx"], bytes(g["before"]), bytes(g["after"])
                     s, e, words, _ = got[idx]
-                    lo, hi = starts[idx], starts[idx] + len(words)
-                    k = 0
-                    while k < len(before) // 2 and k < lo and marks[lo - 1 - k] == before[len(before) - 2 * k - 2 : len(before) - 2 * k]:
+                    lo, hi = int(starts[idx]), int(starts[idx]) + len(words)
+                    k = j = 0
+                    while k < min(len(before) // 2, lo) and marks[line[lo - 1 - k]] == before[len(before) - 2 * k - 2 : len(before) - 2 * k]:
                         k += 1
-                    j = 0
-                    while j < len(after) // 2 and hi + j < len(marks) and marks[hi + j] == after[2 * j : 2 * j + 2]:
+                    while j < min(len(after) // 2, len(line) - hi) and marks[line[hi + j]] == after[2 * j : 2 * j + 2]:
                         j += 1
-                    if (k or j) and places is None:
-                        places = [(u[0] + m.start(), u[0] + m.end()) for u in got for m in WORD.finditer(text[u[0] : u[1]])]
-                        places = places if len(places) == len(flat) else []  # a lower-cased word may count otherwise
-                    if places:
-                        s, e = (places[lo - k][0] if k else s), (places[hi + j - 1][1] if j else e)
+                    if k:
+                        s = place(text, got, starts, lo - k)[0]
+                    if j:
+                        e = place(text, got, starts, hi + j - 1)[1]
                     spans.append((int(s), int(e)))
                 merged: list[list[int]] = []
                 for s, e in sorted(spans):
@@ -144,11 +167,11 @@ def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
                 for s, e in merged:
                     kept.append(text[at:s])
                     at = e
-                rows.append(("".join([*kept, text[at:]]), len(got), len(gone), [{"start": s, "end": e} for s, e in merged]))
-            yield pd.DataFrame(rows, columns=["text", "n_units", "n_removed", "removed"])
+                rows.append(("".join([*kept, text[at:]]), len(gone), [{"start": s, "end": e} for s, e in merged]))
+            yield pd.DataFrame(rows, columns=["text", "n_removed", "removed"])
 
     cut.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    done = F.pandas_udf(cut, "struct<text:string,n_units:long,n_removed:long,removed:array<struct<start:int,end:int>>>")
+    done = F.pandas_udf(cut, "struct<text:string,n_removed:long,removed:array<struct<start:int,end:int>>>")
     joined = own.join(later, ["_id", "_h"], "left").select("doc_id", done(F.struct("text", F.col("_gone").alias("gone"))).alias("_r"))
     return joined.select("doc_id", "_r.*")
 
