@@ -164,7 +164,8 @@ def slots(spark, planned: list[dict], shard_slots: int = SHARD_SLOTS, seed: int
                     mixed = np.random.default_rng([seed, int(shard)]).permutation(len(source))
                     yield pd.DataFrame({"shard": int(shard), "slot": np.arange(len(source)), "_n": source[mixed], "block": block[mixed]})
 
-    return spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(draw, "shard long, slot long, _n int, block long")
+    drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(draw, "shard long, slot long, _n int, block long")
+    return drawn.hint("merge")  # the planner takes it for as small as the range and would broadcast it
 
 
 def source_table(spark, planned: list[dict]) -> DataFrame:
@@ -179,7 +180,7 @@ def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     planned = plan(per_source, block=block)
     sources = F.broadcast(source_table(spark, planned))
     at = at.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    uses = slots(spark, planned, shard_slots).groupBy("_n", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = slots(spark, planned, shard_slots).groupBy("_n", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
     at = at.withColumn("_row", F.struct("offset", "_t"))
     pieces = at.where("size > 0").select("_n", "doc_id", "_row", "size", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
     overlap = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("offset", F.col("block") * block)
