@@ -61,7 +61,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
-        h = np.array([_hash(np.array([ord(c) for c in p], np.uint64)) for p in pieces], np.uint64)
+        h = np.array([_hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in pieces], np.uint64)
         order = np.argsort(h)
         self.keys, self.ids, self.lengths = h[order], order, sorted({len(p) for p in pieces})
 
@@ -175,7 +175,11 @@ def fit(docs: DataFrame, keep: Column, max_rows: int = MAX_ROWS, path: str = VOC
     n_docs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n_docs:
         return None
-    drawn = rows.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("_r")).where(F.col("_r") <= max_rows)
+    # a share of each language that surely holds enough rows, so that no task ranks a whole language
+    share = F.lit(False)
+    for lang, n in n_docs.items():
+        share = share | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 3 * max_rows / n))))
+    drawn = rows.where(share).select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")).alias("_r")).where(F.col("_r") <= max_rows)
     ids = [(r["doc_id"], r["lang"]) for r in drawn.select("doc_id", "lang").collect()]
     few = docs.sparkSession.createDataFrame(ids, "_id long, _lang string").distinct()
     texts = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text").toLocalIterator()
