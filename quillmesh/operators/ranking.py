@@ -127,7 +127,9 @@ def diverse(fused: DataFrame, rows: DataFrame, n: int = N_FRAGMENTS, per_doc: in
 
     If fewer than n are left, the best of the others fill the list.
     """
-    x = fused.join(rows.select("row_id", "doc", trigrams(F.col("text")).alias("grams")), "row_id")
+    # only candidates' texts are cut into trigrams
+    texts = rows.select("row_id", "doc", "text").join(fused.select("row_id").distinct(), "row_id", "left_semi")
+    x = fused.join(texts.select("row_id", "doc", trigrams(F.col("text")).alias("grams")), "row_id")
 
     def pick(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("rnk", kind="stable")
