@@ -33,6 +33,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a narrow table (a few numbers each) that are broadcast; larger ones are shuffled.
+SMALL_ROWS = 400_000
+
+
+def small(table_: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """table_, which was written by cut(), marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(table_) if table_.count() <= rows else table_
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,12 +65,3 @@ def with_group_min(df: DataFrame, key: str, value: str, out: str, count: str, sa
     whole = part.groupBy(key).agg(F.min("_m").alias(out), F.sum("_n").alias(count), F.collect_list("_salt").alias("_salts"))
     back = whole.select(key, out, count, F.explode("_salts").alias("_salt"))
     return salted.join(back, [key, "_salt"]).drop("_salt")
-
-
-def with_shared(df: DataFrame, key: str, value: str, out: str, salts: int | None = None) -> DataFrame:
-    """As with_group_min, keeping only rows whose key has at least two rows."""
-    salts = salts or max(64, partitions(df.sparkSession))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(value)), F.lit(salts)).cast("int"))
-    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    whole = part.groupBy(key).agg(F.min("_m").alias(out), F.sum("_n").alias("_n"), F.collect_list("_salt").alias("_salts")).where("_n > 1")
-    return salted.join(whole.select(key, out, F.explode("_salts").alias("_salt")), [key, "_salt"]).drop("_salt")

@@ -7,10 +7,12 @@ are one class, represented by its least doc_id. Pairs of representatives that sh
 the registers, with Jaccard similarity corrected for registers that collide by chance; pairs more than six standard
 errors below the threshold go, and all others are confirmed on full shingle sets read from the texts.
 
-No bucket is expanded into all pairs as long as its members hang together: each member is paired with one centre of
-its bucket, links are confirmed and components found; buckets that still hold several components are paired with
-other centres, and what is left at last is compared across components, so no pair that shares a bucket and could
-still join two components is skipped. Every step groups hot keys by (key, salt).
+Buckets are not expanded into all pairs. Each member is first paired with one centre of its bucket; links are
+confirmed and components found. In buckets that still hold several components, a member goes if it can't reach the
+threshold with any other: shingles that no second candidate has can't be shared, and what is left of its set must
+suffice against the smallest member. Those that stay are paired with several centres of the bucket's largest component,
+and what then still stands in different components is compared across, so no pair that shares a bucket and could join
+two components is skipped. Hot keys are grouped with map-side combine and joined by (key, salt).
 
 Null or blank text: an empty set, linked with nothing. A null doc_id: linked with nothing, its component is null and
 it is kept. Rows of one doc_id count as one document. Extra columns pass through keep_first. An empty table stays empty.
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, partitions, with_group_min
-from quillmesh.llm.graphs import components
+from quillmesh.llm.common import cut, partitions, small, with_group_min
+from quillmesh.llm.graphs import merged
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,8 +39,10 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: The most doc_ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: Rounds of other centres before components are compared across.
-CENTRES = 3
+#: A shingle of at most so many candidates is looked at by its owners.
+FEW = 16
+#: Centres of a bucket's largest component in the second turn.
+CENTRES = 8
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, REGISTERS, dtype=np.uint64)
 _ODD = np.random.default_rng(20240301).integers(1, 2**63, (2, max(REGISTERS, 64)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,76 +156,133 @@ def shared(rows: DataFrame) -> DataFrame:
     return salted.join(many, ["key", "_salt"]).drop("_salt")
 
 
-def _alike(a: str, b: str, threshold: float):
+def _alike(n: str, m: str, threshold: float):
     """Sets of these sizes can reach the threshold."""
-    return F.least(a, b) >= F.ceil(threshold * F.greatest(a, b) - 1e-9)
+    return F.least(n, m) >= F.ceil(threshold * F.greatest(n, m) - 1e-9)
 
 
-def star(rows: DataFrame, threshold: float, turn: int = 0) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's centre; with labels, only across components.
+def _enough(c: str, d: str, n: str, m: str, threshold: float):
+    """As _alike, for sets of n and m shingles of which c and d can be in common: n + m need t / (1 + t) of it shared."""
+    return _alike(n, m, threshold) & (F.least(c, d) * (1 + threshold) >= threshold * (F.col(n) + F.col(m)) - 1e-6)
 
-    The centre is the least representative at first, and in later turns the least by a hash of turn and key.
-    """
-    order = F.col("rep") if not turn else F.xxhash64("rep", "key", F.lit(turn))
-    cols = ["rep", "n"] + (["label"] if "label" in rows.columns else [])
+
+def _with(rows: DataFrame, per_key: DataFrame) -> DataFrame:
+    """rows joined with a written table of one row for each key: by broadcast while it is small, else over (key, salt)."""
+    few = small(per_key)
+    if few is not per_key:
+        return rows.join(few, "key")
     salts = max(64, partitions(rows.sparkSession))
-    x = rows.withColumn("_me", F.struct(order.alias("o"), *cols)).withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
-    part = x.groupBy("key", "_salt").agg(F.min("_me").alias("_m"))
-    centre = part.groupBy("key").agg(F.min("_m").alias("_c"), F.collect_list("_salt").alias("_salts")).select("key", "_c", F.explode("_salts").alias("_salt"))
-    x = x.join(centre, ["key", "_salt"]).where((F.col("rep") != F.col("_c.rep")) & _alike("n", "_c.n", threshold))
-    if "label" in rows.columns:
-        x = x.where(F.col("label") != F.col("_c.label"))
-    return x.select(F.least("rep", "_c.rep").alias("a"), F.greatest("rep", "_c.rep").alias("b")).distinct()
+    x = rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
+    return x.join(x.select("key", "_salt").distinct().join(per_key, "key"), ["key", "_salt"]).drop("_salt")
 
 
-def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all members of a bucket that stand in different components."""
-    other = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("_n"), F.col("label").alias("_label"))
-    return rows.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("_label")) & _alike("n", "_n", threshold)).select(F.col("rep").alias("a"), "b").distinct()
+def star(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the centre of a bucket, its least representative, with each other member."""
+    centre = cut(rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("_c")), "centres")
+    x = _with(rows, centre).where((F.col("rep") != F.col("_c.rep")) & _alike("n", "_c.n", threshold))
+    return x.select(F.col("_c.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def lookup(pairs: DataFrame, side: str, table: DataFrame, names: dict[str, str]) -> DataFrame:
-    """pairs with columns of `table` (key doc_id) for one side; a hot id is spread over (id, salt)."""
-    other = "b" if side == "a" else "a"
-    x = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(16)).cast("int"))
-    few = x.select(side, "_salt").distinct().join(table.select(F.col("doc_id").alias(side), *(F.col(k).alias(v) for k, v in names.items())), side)
-    return x.join(few, [side, "_salt"]).drop("_salt")
+def stars(rows: DataFrame, threshold: float, centres: int = CENTRES) -> DataFrame:
+    """(a, b): members of a bucket outside its largest component with several centres of that component.
 
+    A centre is the least member by a hash; there is one hash for each.
+    """
+    size = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"), *(F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)).alias("o"), "rep", "n", "c")).alias(f"_c{i}") for i in range(centres)))
+    most = size.groupBy("key").agg(F.max(F.struct("_n", "label", F.array_distinct(F.array(*(F.struct(f"_c{i}.rep", f"_c{i}.n", f"_c{i}.c") for i in range(centres)))).alias("c"))).alias("_m"))
+    x = _with(rows, cut(most, "centres")).where(F.col("label") != F.col("_m.label")).select("rep", "n", "c", F.explode("_m.c").alias("_c"))
+    return x.where(_enough("c", "_c.c", "n", "_c.n", threshold)).select(F.col("_c.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
-def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose registers don't rule the threshold out."""
-    x = classes.select(F.col("rep").alias("doc_id"), "n", "regs")
-    both = lookup(lookup(pairs, "a", x, {"n": "n_a", "regs": "r_a"}), "b", x, {"n": "n_b", "regs": "r_b"})
-    least = threshold - 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+
+def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows, with their labels, of the buckets that hold several components."""
+    at = rows.drop("label").join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    several = cut(at.groupBy("key").agg((F.min("label") != F.max("label")).alias("_open")).where("_open").select("key"), "open")
+    return cut(at.join(small(several), "key", "left_semi"), "buckets")
+
+
+def possible(rows: DataFrame, members: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """rows, with c: how many shingles a member can share, without those that can't be linked within their bucket; and
+    the pairs (a, b) that c leaves out.
+
+    A shingle that at most FEW candidates have can be in common among these only: pairs of them are tried if what they
+    share so and otherwise could suffice, and for all other pairs the shingle doesn't count. With c left, a set of n shingles reaches the
+    threshold only with sizes up to c * (1 + t) / t - n; a member stays if its bucket has one of such a size, by classes
+    of sizes. Each member looks at about ten classes, so nothing here grows with the square of a bucket.
+    """
+    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        collisions = Collisions()
-        for p in batches:
-            ok = [estimate(np.frombuffer(r, np.uint16), np.frombuffer(s, np.uint16), n, m, collisions) >= least for r, s, n, m in zip(p["r_a"], p["r_b"], p["n_a"], p["n_b"], strict=True)]
-            yield p.loc[ok, ["a", "b"]]
+        memo = WordHash()
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                sets = [shingles(t, width, memo) for t in part["text"]]
+                yield pd.DataFrame({"s": np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64), "rep": np.repeat(part["doc_id"].to_numpy(), [len(x) for x in sets])})
+
+    every = members.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInPandas(scan, "s long, rep long")
+    # the first owners of each shingle: a frequent one reaches no task with more than FEW + 1 rows from each task before
+    first = F.row_number().over(W.partitionBy("s").orderBy("rep"))
+    owners = every.withColumn("_k", first).where(F.col("_k") <= FEW + 1).groupBy("s").agg(F.sort_array(F.collect_list("rep")).alias("o")).where(F.size("o") <= FEW)
+    owners = cut(owners.groupBy("o").agg(F.count(F.lit(1)).alias("_n")), "owners")
+    alone = owners.select(F.explode(F.array_distinct("o")).alias("rep"), "_n").groupBy("rep").agg(F.sum("_n").alias("_alone"))
+    # an id with several texts has several sets, whose counts would mix; it stays
+    twice = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("rep"))
+    alone = cut(alone.join(twice, "rep", "left_anti"), "alone")
+    step = F.lit(float(np.log(1.05)))
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / step).cast("int")
+    x = rows.join(small(alone), "rep", "left").withColumn("c", F.col("n") - F.coalesce("_alone", F.lit(0)))
+    known = cut(x.select("rep", "n", "c", "label").distinct(), "known")
+    of = lambda e: small(known).select(F.col("rep").alias(e), *(F.col(k).alias(f"{k}_{e}") for k in ("n", "c", "label")))
+    two = F.flatten(F.transform("o", lambda a, i: F.transform(F.filter("o", lambda b, j: j > i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rare = owners.where(F.size("o") > 1).select(F.explode(two).alias("_p"), "_n").select("_p.a", "_p.b", "_n").where("a <> b").groupBy("a", "b").agg(F.sum("_n").alias("_r"))
+    rare = rare.join(of("a"), "a").join(of("b"), "b").where((F.col("label_a") != F.col("label_b")) & _alike("n_a", "n_b", threshold))
+    rare = rare.where((F.least("c_a", "c_b") + F.col("_r")) * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b").distinct()
+    low = F.ceil(F.col("n") * threshold - 1e-6)
+    high = F.least(F.floor(F.col("n") / threshold + 1e-6), F.floor(F.col("c") * ((1 + threshold) / threshold) + 1e-6) - F.col("n"))
+    x = cut(x.where(high >= low).select("key", "rep", "n", "label", "c", F.explode(F.sequence(size_class(low), size_class(high))).alias("class")), "classes")
+    there = rows.select("key", size_class(F.col("n")).alias("class")).distinct()
+    return x.join(there, ["key", "class"], "left_semi").select("key", "rep", "n", "label", "c").distinct(), rare
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInPandas(scan, "a long, b long")
+
+def across(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all members of a bucket that stand in different components."""
+    one = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("_n"), F.col("c").alias("_c"), F.col("label").alias("_label"))
+    other = rows.select(F.col("key").alias("_key"), F.col("rep").alias("b"), "n", "c", "label")
+    on = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("_label")) & _enough("c", "_c", "n", "_n", threshold)
+    return one.join(other, on).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold; texts: doc_id, text."""
-    both = lookup(lookup(pairs, "a", texts, {"text": "t_a"}), "b", texts, {"text": "t_b"})
+def confirmed(pairs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold. members: doc_id, n, regs, text.
+
+    The registers' estimate comes first; what it doesn't rule out is confirmed on the full shingle sets. a may be in
+    a third of all pairs, so it meets its row over (a, salt); b is in a bounded number of pairs.
+    """
+    x = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
+    few = x.select("a", "_salt").distinct().join(members.select(F.col("doc_id").alias("a"), F.struct("n", "regs", "text").alias("_a")), "a")
+    both = x.join(few, ["a", "_salt"]).join(members.select(F.col("doc_id").alias("b"), F.struct("n", "regs", "text").alias("_b")), "b")
+    both = both.select("a", "b", *(F.col(f"_{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("n", "regs", "text")))
+    least = threshold - 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     percent = round(100 * threshold)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHash()
-        last_a, s = None, None
+        memo, collisions = WordHash(), Collisions()
+        last, s = None, None
         for p in batches:
             ok = []
-            for a, t, u in zip(p["a"], p["t_a"], p["t_b"], strict=True):
-                if a != last_a or t is not last_text:
-                    last_a, last_text, s = a, t, shingles(t, width, memo)
+            for n, m, r, q, t, u in zip(p["n_a"], p["n_b"], p["regs_a"], p["regs_b"], p["text_a"], p["text_b"], strict=True):
+                if estimate(np.frombuffer(r, np.uint16), np.frombuffer(q, np.uint16), n, m, collisions) < least:
+                    ok.append(False)
+                    continue
+                if t != last:
+                    last, s = t, shingles(t, width, memo)
                 v = shingles(u, width, memo)
-                both_in = len(np.intersect1d(s, v, assume_unique=True))
-                ok.append(100 * both_in >= percent * (len(s) + len(v) - both_in))
+                shared_ = len(np.intersect1d(s, v, assume_unique=True))
+                ok.append(100 * shared_ >= percent * (len(s) + len(v) - shared_))
             yield p.loc[ok, ["a", "b"]]
 
-    return both.select("a", "b", "t_a", "t_b").mapInPandas(scan, "a long, b long").distinct()
+    return both.mapInPandas(scan, "a long, b long").distinct()
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -236,38 +298,37 @@ def classify(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD)
     sets = sketch.where("n_shingles > 0 and doc_id is not null")
     member = with_group_min(sets, "set", "doc_id", "rep", "copies")
     member = cut(member.select("doc_id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "members")
-    classes = member.where("doc_id = rep").select("rep", "n", "regs").dropDuplicates(["rep", "n", "regs"])
-    rows = cut(shared(buckets(classes)), "buckets")
+    classes = member.where("doc_id = rep").select("rep", "n", "regs")
+    rows = cut(shared(buckets(classes)).distinct(), "buckets")
+    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    members = classes.join(small(ids, BROADCAST_IDS).withColumnRenamed("doc_id", "rep"), "rep").distinct()
+    members = cut(texts_of(docs, ids).join(members.withColumnRenamed("rep", "doc_id"), "doc_id"), "texts")
     # rows of one doc_id that differ in text are one document: their classes are linked through it
-    links = cut(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b"), "links")
-    texts = cut(texts_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct()), "texts")
-    tried, labels = None, None
-    for turn in range(CENTRES + 2):
-        if turn:
-            at = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            # buckets that still hold several components
-            open_ = at.groupBy("key").agg((F.min("label") != F.max("label")).alias("_open")).where("_open").select("key")
-            at = cut(at.join(open_, "key", "left_semi"), "open")
-            if at.isEmpty():
-                break
-            pairs = star(at, threshold, turn) if turn <= CENTRES else across(at, threshold)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        else:
-            pairs = star(rows, threshold)
+    known = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")
+    known = cut(known, "links")
+    labels = docs.sparkSession.createDataFrame([], "node long, label long") if known.isEmpty() else merged(None, known)
+
+    def link(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Components with the links among pairs that weren't tried before, and all pairs tried."""
+        if tried is not None:
+            ends = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
+            pairs = pairs.select("a", "b", *ends).join(small(tried), ["x", "y"], "left_anti").select("a", "b")
         pairs = cut(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            if turn <= CENTRES:
-                continue
-            break
-        found = cut(confirmed(likely(pairs, classes, threshold), texts, width, threshold), "found")
-        tried = pairs if tried is None else cut(tried.union(pairs), "tried")
-        if turn and found.isEmpty():
-            continue
-        links = links.union(found)
-        labels = components(links)
-    label = labels.select(F.col("node").alias("rep"), "label")
-    own = member.select("doc_id", "rep", "n").join(label, "rep", "left").groupBy("doc_id").agg(F.max("n").alias("_n"), F.min(F.coalesce("label", "rep")).alias("_component"))
-    got = own.select(F.col("doc_id").alias("_id"), "_component")
+        now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        found = cut(confirmed(pairs, members, width, threshold), "found")
+        return (labels if found.isEmpty() else merged(labels, found)), cut(now if tried is None else tried.union(now), "tried")
+
+    labels, tried = link(star(rows, threshold), None)
+    rows = unsettled(rows, labels)
+    if not rows.isEmpty():
+        rows, rare = possible(rows, members, width, threshold)
+        rows = unsettled(rows, labels)
+        labels, tried = link(stars(rows, threshold).union(rare).distinct(), tried)
+        rows = unsettled(rows, labels)
+    if not rows.isEmpty():
+        labels, tried = link(across(rows, threshold), tried)
+    own = member.select("doc_id", "rep").join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
+    got = own.groupBy(F.col("doc_id").alias("_id")).agg(F.min("rep").alias("_component"))
     return sketch.select("doc_id", "n_shingles").join(got, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
 
 
