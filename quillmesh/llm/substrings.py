@@ -3,9 +3,9 @@
 Units: a line of at most `line_chars` characters is one unit; a longer line is split after . ! or ? and a blank (a long
 sentence after , ; or :, too), so a passage that was pasted into the middle of a line still yields whole units. A unit is normalised to its lower-case
 words, without ASCII signs. Digests are grouped over all documents; the occurrence of least (doc_id, unit number) stays and the others
-go. The words just before and just after a removed unit go too as far as they equal, word by word, those beside
-the kept occurrence (at most `EDGE_WORDS` on either side), which restores the ends of a passage whose first or
-last sentence runs on into other text. Offsets are code points of the original text, end exclusive.
+go. The words just before and just after a removed unit go too, up to the first that differs from the words beside
+the kept occurrence, however many they are, which restores the ends of a passage whose first or last sentence runs on
+into other text. Words themselves are compared, not hashes. Offsets are code points of the original text, end exclusive.
 
 A key that occurs in a third of all rows is grouped by (key, salt) and never meets in one task. Units of fewer than
 `min_words` words (sentences of long lines: `min_sentence`) are left alone. Null text: no units, stays null. Empty
@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut as written
@@ -28,7 +30,8 @@ from quillmesh.llm.common import partitions
 
 LINE_CHARS = 80
 MIN_WORDS, MIN_SENTENCE = 3, 5
-EDGE_WORDS = 12
+#: Words beside a unit that are compared at first, and how much longer each further stretch is.
+EDGE_WORDS, EDGE_GROWTH = 16, 8
 SENTENCE = re.compile(r"[.!?][\"')\]]*\s+")
 #: A sentence of more characters is split at these, too.
 SENTENCE_CHARS = 160
@@ -59,48 +62,66 @@ def units(text: str, line_chars: int = LINE_CHARS, min_words: int = MIN_WORDS, m
         at += len(line) + 1
 
 
-class Marks(dict):
-    """Two bytes for each word, kept while there are not too many."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        m = self[word] = xxhash.xxh32_digest(word)[:2]
-        return m
-
-
-def occurrences(docs: DataFrame, edges: bool) -> DataFrame:
-    """digest, _id, _h (of the text), idx: a row for each eligible unit; with edges, also the words beside it (before, after)."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """digest, _id, _h (of the text), idx: a row for each eligible unit."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        marks = Marks()
         for batch in batches:
             for at in range(0, len(batch), 500):
-                digest, ids, hs, idxs, before, after = [], [], [], [], [], []
+                digest, ids, hs, idxs = [], [], [], []
                 for doc, h, text in batch.iloc[at : at + 500].itertuples(index=False):
-                    got = list(units(text or ""))
-                    line = b"".join([marks[w] for u in got for w in u[2]]) if edges else b""
-                    pos = 0
-                    for idx, (_, _, words, eligible) in enumerate(got):
-                        end = pos + 2 * len(words)
+                    for idx, (_, _, words, eligible) in enumerate(units(text or "")):
                         if eligible:
                             digest.append(xxhash.xxh64_intdigest(b" ".join(words)))
                             ids.append(doc)
                             hs.append(h)
                             idxs.append(idx)
-                            if edges:
-                                before.append(line[max(0, pos - 2 * EDGE_WORDS) : pos])
-                                after.append(line[end : end + 2 * EDGE_WORDS])
-                        pos = end
                 if digest:
-                    out = pd.DataFrame({"digest": np.array(digest, np.uint64).astype(np.int64), "_id": ids, "_h": hs, "idx": np.array(idxs, np.int32)})
-                    yield out.assign(before=before, after=after) if edges else out
+                    yield pd.DataFrame({"digest": np.array(digest, np.uint64).astype(np.int64), "_id": ids, "_h": hs, "idx": np.array(idxs, np.int32)})
+
+    return docs.select("_id", "_h", "text").mapInPandas(scan, "digest long, _id long, _h long, idx int")
 
-    return docs.select("_id", "_h", "text").mapInPandas(scan, "digest long, _id long, _h long, idx int" + ", before binary, after binary" * edges)
+
+def stretches(docs: DataFrame, asked: DataFrame, at: int, size: int) -> DataFrame:
+    """asked (_id, _h, idx, side, stop) with words: up to `size` words beside a unit, from the at-th on, nearest first.
+
+    side 1: after the unit, -1: before it. The words of unit `stop` and those beyond it are left out (-1: none are).
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, h, text, asks in batch[["_id", "_h", "text", "_asks"]].itertuples(index=False):
+                got = list(units(text or ""))
+                line = [w for u in got for w in u[2]]
+                starts = [0, *accumulate(len(u[2]) for u in got)]
+                for ask in asks:
+                    idx, side, stop = ask["idx"], ask["side"], ask["stop"]
+                    if side > 0:
+                        a = starts[idx + 1] + at
+                        own = line[a : min(a + size, starts[stop] if stop >= 0 else len(line))]
+                    else:
+                        b = starts[idx] - at
+                        own = line[max(b - size, starts[stop + 1] if stop >= 0 else 0) : max(b, 0)][::-1]
+                    out.append((i, h, idx, side, stop, b" ".join(own)))
+            yield pd.DataFrame(out, columns=["_id", "_h", "idx", "side", "stop", "words"])
+
+    per = asked.groupBy("_id", "_h").agg(F.collect_list(F.struct("idx", "side", "stop")).alias("_asks"))
+    said = docs.select("_id", "_h", "text").join(per, ["_id", "_h"]).mapInPandas(scan, "_id long, _h long, idx int, side int, stop int, words binary")
+    # rows with one doc_id and one text say the same
+    return said.dropDuplicates(["_id", "_h", "idx", "side", "stop"])
+
+
+def in_common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How many words two stretches begin with alike."""
+    for own, other in pairs:
+        n = []
+        for a, b in zip(own, other, strict=True):
+            x, y = a.split(), b.split()
+            n.append(next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y))))  # noqa: B905
+        yield pd.Series(n, dtype="int32")
 
 
 def place(text: str, got: list, starts: np.ndarray, number: int) -> tuple[int, int]:
@@ -112,27 +133,56 @@ def place(text: str, got: list, starts: np.ndarray, number: int) -> tuple[int, i
 
 
 def later_occurrences(docs: DataFrame, salts: int) -> DataFrame:
-    """_id, _h, idx, before, after: units to remove, with the words beside the occurrence that stays.
+    """_id, _h, idx of units to remove, _kid, _kh, _kidx of the occurrence that stays.
 
     The first occurrences are found with map-side combine, so a unit that is in a third of all rows reaches no task as
     rows; the occurrences then meet them over (digest, salt).
     """
-    first = occurrences(docs, True).groupBy("digest").agg(F.min(F.struct("_id", "_h", "idx", "before", "after")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = written(first.where("_n > 1").select("digest", "_first"), "first")
-    occ = written(occurrences(docs, False), "occurrences").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    occ = written(occurrences(docs), "occurrences").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    first = occ.groupBy("digest").agg(F.min(F.struct("_id", "_h", "idx")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = written(first.where("_n > 1").select("digest", F.col("_first._id").alias("_kid"), F.col("_first._h").alias("_kh"), F.col("_first.idx").alias("_kidx")), "first")
     found = occ.join(occ.select("digest", "_salt").distinct().join(first, "digest"), ["digest", "_salt"])
-    f = F.col("_first")
-    return found.where((F.col("_id") != f["_id"]) | (F.col("_h") != f["_h"]) | (F.col("idx") != f["idx"])).select("_id", "_h", "idx", f["before"].alias("before"), f["after"].alias("after"))
+    found = found.where((F.col("_id") != F.col("_kid")) | (F.col("_h") != F.col("_kh")) | (F.col("idx") != F.col("_kidx")))
+    return written(found.select("_id", "_h", "idx", "_kid", "_kh", "_kidx").dropDuplicates(["_id", "_h", "idx"]), "later")
+
+
+def edges(docs: DataFrame, later: DataFrame, salts: int) -> list[DataFrame]:
+    """Tables of _id, _h, idx, side, n: how many words beside a removed unit equal those beside the one that stays.
+
+    Removed units that follow one another, as their first occurrences do, share their edges: only the ends of such a row
+    are asked for, up to the next removed unit that goes on with it. The words on both sides are compared in stretches
+    of EDGE_WORDS, then of `EDGE_GROWTH` times as many for the ends that are still equal, until none is.
+    """
+    way = Window.partitionBy("_id", "_h", "_kid", "_kh", F.col("_kidx") - F.col("idx")).orderBy("idx")
+    ends = later.withColumn("_prev", F.lag("idx").over(way)).withColumn("_next", F.lead("idx").over(way))
+    end = lambda side, near: F.when(F.col(near).isNull() | (F.col(near) != F.col("idx") + side), F.struct(F.lit(side).alias("side"), F.coalesce(near, F.lit(-1)).alias("stop")))
+    ends = ends.withColumn("_e", F.explode(F.filter(F.array(end(-1, "_prev"), end(1, "_next")), lambda e: e.isNotNull())))
+    ends = ends.select("_id", "_h", "idx", "_kid", "_kh", "_kidx", "_e.side", "_e.stop", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
+    out, at, size = [], 0, EDGE_WORDS
+    alike = F.pandas_udf(in_common, "int")
+    kept = {"_id": "_kid", "_h": "_kh", "idx": "_kidx"}
+    ends = written(ends, "ends")
+    while at == 0 or not ends.isEmpty():
+        asked = ends.select("_id", "_h", "idx", "side", "stop").union(ends.select("_kid", "_kh", "_kidx", "side", F.lit(-1)))
+        said = written(stretches(docs, asked.distinct(), at, size), "stretches")
+        other = said.where("stop = -1").select(*(F.col(a).alias(b) for a, b in kept.items()), "side", F.col("words").alias("_other"))
+        other = ends.select(*kept.values(), "side", "_salt").distinct().join(other, [*kept.values(), "side"])
+        both = ends.join(said, ["_id", "_h", "idx", "side", "stop"]).join(other, [*kept.values(), "side", "_salt"])
+        done = written(both.select(*ends.columns, alike("words", "_other").alias("_n")), "edges")
+        out.append(done.where((F.col("_n") < size) & (F.col("_n") + at > 0)).select("_id", "_h", "idx", "side", (F.col("_n") + at).alias("n")))
+        ends, at, size = done.where(F.col("_n") == size).drop("_n"), at + size, size * EDGE_GROWTH
+    return out
 
 
 def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """doc_id, text without later occurrences, n_removed, removed (array of start, end in the original text)."""
     salts = salts or max(64, partitions(docs.sparkSession))
     own = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
-    later = later_occurrences(own, salts).groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("idx", "before", "after"))).alias("_gone"))
+    later = later_occurrences(own, salts)
+    gone = reduce(DataFrame.union, edges(own, later, salts), later.select("_id", "_h", "idx", F.lit(0).alias("side"), F.lit(0).alias("n")))
+    gone = gone.groupBy("_id", "_h").agg(F.collect_list(F.struct("idx", "side", "n")).alias("_gone"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = Marks()
         for batch in batches:
             rows = []
             for text, gone in zip(batch["text"], batch["gone"], strict=True):
@@ -140,22 +190,15 @@ def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
                     rows.append((text, 0, []))
                     continue
                 got = list(units(text or ""))
-                line = [w for u in got for w in u[2]]
                 starts = np.cumsum([0, *(len(u[2]) for u in got)])
                 spans = []
                 for g in gone:
-                    idx, before, after = g["idx"], bytes(g["before"]), bytes(g["after"])
-                    s, e, words, _ = got[idx]
-                    lo, hi = int(starts[idx]), int(starts[idx]) + len(words)
-                    k = j = 0
-                    while k < min(len(before) // 2, lo) and marks[line[lo - 1 - k]] == before[len(before) - 2 * k - 2 : len(before) - 2 * k]:
-                        k += 1
-                    while j < min(len(after) // 2, len(line) - hi) and marks[line[hi + j]] == after[2 * j : 2 * j + 2]:
-                        j += 1
-                    if k:
-                        s = place(text, got, starts, lo - k)[0]
-                    if j:
-                        e = place(text, got, starts, hi + j - 1)[1]
+                    idx, side, n = g["idx"], g["side"], g["n"]
+                    s, e, _, _ = got[idx]
+                    if side < 0:
+                        s = place(text, got, starts, int(starts[idx]) - n)[0]
+                    elif side > 0:
+                        e = place(text, got, starts, int(starts[idx + 1]) + n - 1)[1]
                     spans.append((int(s), int(e)))
                 merged: list[list[int]] = []
                 for s, e in sorted(spans):
@@ -167,12 +210,12 @@ def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
                 for s, e in merged:
                     kept.append(text[at:s])
                     at = e
-                rows.append(("".join([*kept, text[at:]]), len(gone), [{"start": s, "end": e} for s, e in merged]))
+                rows.append(("".join([*kept, text[at:]]), sum(g["side"] == 0 for g in gone), [{"start": s, "end": e} for s, e in merged]))
             yield pd.DataFrame(rows, columns=["text", "n_removed", "removed"])
 
     cut.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     done = F.pandas_udf(cut, "struct<text:string,n_removed:long,removed:array<struct<start:int,end:int>>>")
-    joined = own.join(later, ["_id", "_h"], "left").select("doc_id", done(F.struct("text", F.col("_gone").alias("gone"))).alias("_r"))
+    joined = own.join(gone, ["_id", "_h"], "left").select("doc_id", done(F.struct("text", F.col("_gone").alias("gone"))).alias("_r"))
     return joined.select("doc_id", "_r.*")
 
 

@@ -204,3 +204,15 @@ def test_repeats_of_odd_rows(make):
     got = collections.Counter((r["doc_id"], r["text"]) for r in substrings.digest(docs).collect())
     assert got == {(4, "the same line of words"): 2, (None, ""): 1, (6, "x\n" * 5): 1}
     assert substrings.digest(make()).count() == 0
+
+
+@pytest.mark.parametrize("n", [13, 16, 30, 200])
+def test_edges_go_on_to_the_first_word_that_differs(make, n):
+    r = random.Random(n)
+    before, after = " ".join(words(r, n)), " ".join(words(r, n))
+    passage = f"{before}. {' '.join(words(r, 11))}. {' '.join(words(r, 11))}. {after}"
+    rows = [(i, f"only{i} {passage} mere{i} {' '.join(words(r, 9))}.") for i in range(3)]
+    got = {x["doc_id"]: x["text"] for x in substrings.digest(make(*rows)).collect()}
+    assert got[0] == rows[0][1]
+    for i, t in rows[1:]:
+        assert got[i] == t.replace(passage, "")
