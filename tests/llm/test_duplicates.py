@@ -216,3 +216,15 @@ def test_edges_go_on_to_the_first_word_that_differs(make, n):
     assert got[0] == rows[0][1]
     for i, t in rows[1:]:
         assert got[i] == t.replace(passage, "")
+
+
+def test_edges_compare_words_not_short_hashes(make):
+    import xxhash
+
+    seen, i = {}, 0
+    while (other := seen.setdefault(xxhash.xxh32_digest(f"w{i}")[:2], f"w{i}")) == f"w{i}":
+        i += 1
+    line = "this line stands in both of the documents"
+    rows = [(1, f"{other}\n{line}\n{other}"), (2, f"w{i}\n{line}\nw{i}")]
+    got = {x["doc_id"]: x["text"].split() for x in substrings.digest(make(*rows)).collect()}
+    assert got == {1: rows[0][1].split(), 2: [f"w{i}"] * 2}
