@@ -100,7 +100,11 @@ def queries_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH w AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') AS t FROM benchmark) SELECT 'q' || lpad(item_id::VARCHAR, 3, '0') AS query_id, t AS text FROM w""".replace("\\\\", "\\"))
 def query_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions pasted together with marks, then taken apart again."""
-    b = read(spark, sf_dir, "benchmark").where("item_id < 1000")
-    pasted = b.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda r: F.concat(F.lit(" Q"), F.lpad(r["item_id"].cast("string"), 3, "0"), F.lit(" \n"), r["text"])), "").alias("value"))
-    return records.queries_from_marks(pasted)
+    """Questions pasted together with marks, then taken apart again.
+
+    A mark has three digits, so each block of 1000 ids is a text of its own.
+    """
+    b = read(spark, sf_dir, "benchmark").withColumn("block", F.floor(F.col("item_id") / 1000))
+    pasted = b.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda r: F.concat(F.lit(" Q"), F.lpad((r["item_id"] % 1000).cast("string"), 3, "0"), F.lit(" \n"), r["text"])), "").alias("value"))
+    item = F.col("block") * 1000 + F.substring("query_id", 2, 3).cast("long")
+    return records.queries_from_marks(pasted, "block").select(F.concat(F.lit("q"), F.lpad(item.cast("string"), 3, "0")).alias("query_id"), "text")

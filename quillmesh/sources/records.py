@@ -69,12 +69,15 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return queries_from_text(raw.select(F.posexplode(objects).alias("n", "value")).where(F.trim("value") != ""))
 
 
-def queries_from_marks(text: DataFrame) -> DataFrame:
-    """text (value) with marks q001, q002 ... -> query_id, text: what follows a mark; of a repeated mark, the first."""
-    x = text.select(F.regexp_replace("value", QUERY_MARK, "\x01$1\x02").alias("v")).select(F.posexplode(F.split("v", "\x01")).alias("p", "part")).where(F.col("part").contains("\x02"))
+def queries_from_marks(text: DataFrame, *by: str) -> DataFrame:
+    """text (value) with marks q001, q002 ... -> query_id, text: what follows a mark; of a repeated mark, the first.
+
+    by: columns that tell texts apart, each of which has marks of its own; they are returned, too.
+    """
+    x = text.select(*by, F.regexp_replace("value", QUERY_MARK, "\x01$1\x02").alias("v")).select(*by, F.posexplode(F.split("v", "\x01")).alias("p", "part")).where(F.col("part").contains("\x02"))
     body = strip(F.regexp_replace(F.element_at(F.split("part", "\x02"), 2), r"\s+", " "))
-    x = x.select("p", F.concat(F.lit("q"), F.lpad(F.regexp_extract("part", r"^(\d+)", 1), 3, "0")).alias("query_id"), body.alias("text")).where("text <> ''")
-    return x.groupBy("query_id").agg(F.min_by("text", "p").alias("text"))
+    x = x.select(*by, "p", F.concat(F.lit("q"), F.lpad(F.regexp_extract("part", r"^(\d+)", 1), 3, "0")).alias("query_id"), body.alias("text")).where("text <> ''")
+    return x.groupBy(*by, "query_id").agg(F.min_by("text", "p").alias("text"))
 
 
 def gold(rows: DataFrame) -> DataFrame:

@@ -61,6 +61,21 @@ def test_query_marks_keep_the_first(spark):
     assert {r["query_id"]: r["text"] for r in records.queries_from_marks(t).collect()} == {"q001": "What is it?", "q002": "Why?"}
 
 
+def test_query_marks_reads_every_item(spark, tmp_path):
+    import duckdb
+
+    from quillmesh.plans import record_queries, registry
+    from tests.compare import compare
+
+    n = [0, 7, 999, 1000, 1001, 2345, 12345, *range(3000, 5200)]
+    spark.createDataFrame([(i, f"what  is\n{i}x ?") for i in n], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    df = record_queries.query_marks(spark, str(tmp_path))
+    ok, said = compare(df, con, registry.SQL["query_marks"])
+    assert ok and df.count() == len(n), said
+
+
 def test_gold_continues_the_question(spark):
     rows = [(1, "Q1", "f1", "a.pdf"), (2, "", "f2", "no file"), (3, None, None, "b.PDF"), (4, "Q2", " ", "c.pdf")]
     got = records.gold(spark.createDataFrame(rows, "n int, question string, fragment string, document string")).collect()
