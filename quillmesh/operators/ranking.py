@@ -22,6 +22,8 @@ CLASS_BOOST, TEMPERATURE = 0.15, 0.05
 COPY_COSINE, TRANSLATION_COSINE = 0.98, 0.95
 MAX_OVERLAP = 0.7
 EXPAND_WORDS, LEAST_ROOM, LEAST_JOIN = 245, 25, 20
+#: Positions that share a join key when neighbours are fetched.
+BAND = 64
 
 
 def rerank(scored: DataFrame) -> DataFrame:
@@ -160,23 +162,36 @@ def join_pieces(pieces: list[str]) -> str:
     return out
 
 
-def expand(hits: DataFrame, rows: DataFrame, target: int = EXPAND_WORDS, reach: int = 12) -> DataFrame:
+def expand(hits: DataFrame, rows: DataFrame, target: int = EXPAND_WORDS) -> DataFrame:
     """hits (row_id, ...) with text: the row's own and whole neighbours, next and previous in turn, up to `target` words.
 
-    rows: row_id, doc, pos, text. A band join on (doc, pos) fetches the neighbours; `reach` bounds them, as a target
-    of 245 words is met by fewer. Room of at least 25 words is filled with whole sentences of the next neighbour,
-    then of the previous one.
+    rows: row_id, doc, pos, text. Running sums of words over (doc, pos) tell how far neighbours can be needed: up to the
+    target and the first row that doesn't fit. A band join on (doc, pos) fetches them; blank ones are left out. Room of
+    at least 25 words is filled with whole sentences of the next neighbour, then of the previous one.
     """
     ids = hits.select("row_id").distinct()
+    rows = rows.select("row_id", "doc", "pos", F.coalesce("text", F.lit("")).alias("text"))
     own = rows.join(ids, "row_id", "left_semi").select(F.col("row_id").alias("_id"), "doc", F.col("pos").alias("_at"))
-    near = rows.select("doc", "pos", "text").join(own, "doc").where(F.col("pos").between(F.col("_at") - reach, F.col("_at") + reach))
-    near = near.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") - F.col("_at")).alias("d"), "text", word_count(F.col("text")).alias("n"), sentences(F.col("text")).alias("s")))).alias("near"))
+    # a row of more words than the target never fits and counts as target + 1, so sums in the range hold the first one, too
+    x = rows.join(own.select("doc").distinct(), "doc", "left_semi").groupBy("doc", "pos").agg(F.least(word_count(F.max("text")), F.lit(target + 1)).cast("long").alias("_n"))
+    x = x.withColumn("_run", F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos")))
+    run = W.partitionBy("doc", "_run")
+    x = x.withColumn("_sum", F.sum("_n").over(run.orderBy("pos")) - F.col("_n"))
+    within = run.orderBy("_sum").rangeBetween(-2 * target - 1, 2 * target + 1)
+    x = x.select("doc", F.col("pos").alias("_at"), F.min("pos").over(within).alias("_lo"), F.max("pos").over(within).alias("_hi"))
+    band = lambda c: F.floor(F.col(c) / BAND)
+    own = own.join(x, ["doc", "_at"]).withColumn("_band", F.explode(F.sequence(band("_lo"), band("_hi"))))
+    near = rows.select("doc", "pos", "text", word_count(F.col("text")).alias("_n"), band("pos").alias("_band")).join(own, ["doc", "_band"])
+    near = near.where(F.col("pos").between(F.col("_lo"), F.col("_hi")) & ((F.col("_n") > 0) | (F.col("pos") == F.col("_at"))))
+    item = F.struct((F.col("pos") - F.col("_at")).alias("d"), "text", F.col("_n").alias("n"), sentences(F.col("text")).alias("s"))
+    near = near.groupBy("_id", (F.col("_lo") - F.col("_at")).cast("long").alias("lo"), (F.col("_hi") - F.col("_at")).cast("long").alias("hi")).agg(F.sort_array(F.collect_list(item)).alias("near"))
 
     @F.pandas_udf("string")
-    def grow(all_near: pd.Series) -> pd.Series:
-        def one(items) -> str:
+    def grow(all_near: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        def one(items, first: int, last: int) -> str:
             at = {r["d"]: (r["text"], r["n"], list(r["s"])) for r in items}
             text, total, _ = at[0]
+            row = lambda d: at.get(d) or (("", 0, []) if first <= d <= last else None)
             if total >= target:
                 return text
             after, before, step = [], [], {1: 1, -1: 1}
@@ -184,14 +199,14 @@ def expand(hits: DataFrame, rows: DataFrame, target: int = EXPAND_WORDS, reach:
             while grew:
                 grew = False
                 for side, to in ((1, after), (-1, before)):
-                    got = at.get(side * step[side])
+                    got = row(side * step[side])
                     if got and total + got[1] <= target:
                         to.append(got[0])
                         total += got[1]
                         step[side] += 1
                         grew = True
             for side, to in ((1, after), (-1, before)):
-                got = at.get(side * step[side])
+                got = row(side * step[side])
                 if got and target - total >= LEAST_ROOM:
                     part, n = [], 0
                     for s in got[2] if side > 0 else got[2][::-1]:
@@ -205,6 +220,6 @@ def expand(hits: DataFrame, rows: DataFrame, target: int = EXPAND_WORDS, reach:
                         total += n
             return join_pieces([*before[::-1], text, *after])
 
-        return all_near.map(one)
+        return pd.Series([one(*r) for r in zip(all_near, lo, hi, strict=True)], dtype=object)
 
-    return hits.join(near.select(F.col("_id").alias("row_id"), grow("near").alias("text")), "row_id")
+    return hits.join(near.select(F.col("_id").alias("row_id"), grow("near", "lo", "hi").alias("text")), "row_id")

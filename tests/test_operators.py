@@ -82,6 +82,31 @@ def test_expansion_stays_within_the_target(spark):
     assert len(got[3].split()) == 240 and got[3].startswith("w2x0") and got[3].endswith("w5x58 end.")  # next, previous, next
 
 
+def test_expansion_goes_as_far_as_the_target(spark):
+    r = np.random.default_rng(3)
+    texts = {"short": [f"a{i} b{i} c{i}" for i in range(40)], "ones": [f"w{i}" for i in range(700)]}
+    texts["mixed"] = [" ".join(f"m{i}x{k}" for k in range(r.choice([0, 0, 1, 3, 9, 300]))) for i in range(200)]
+    at = {(d, 5 + i): t for d, own in texts.items() for i, t in enumerate(own) if (d, i) != ("mixed", 120)}
+    df = spark.createDataFrame([(i, d, p, t) for i, ((d, p), t) in enumerate(at.items())], "row_id int, doc string, pos int, text string")
+
+    def grown(d, p):
+        total, ends, parts = len(at[d, p].split()), {1: 1, -1: 1}, [at[d, p]]
+        grew = total < 245
+        while grew:
+            grew = False
+            for side in (1, -1):
+                t = at.get((d, p + side * ends[side]))
+                if t is not None and total + len(t.split()) <= 245:
+                    total, grew = total + len(t.split()), True
+                    ends[side] += 1
+                    parts = [*parts, t] if side > 0 else [t, *parts]
+        return " ".join(filter(None, parts))
+
+    got = {r["row_id"]: r["text"] for r in ranking.expand(df.select("row_id"), df).collect()}
+    assert got == {i: grown(*k) for i, k in enumerate(at)}
+    assert len(got[20].split()) == 120
+
+
 def test_joining_drops_the_shared_sentence():
     shared = "this sentence stands in both of them."
     assert ranking.join_pieces(["First one. " + shared, shared + " Then more.", ""]) == f"First one. {shared} Then more."
