@@ -264,26 +264,23 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question through chunks, three encoders, fusion, prior, copies, diversity and expansion.
+    """Every question through chunks, three encoders, the entity graph, fusion, prior, copies, diversity and expansion.
 
-    The tables of the index, which search.build() would write, are made here and cached.
+    The tables of the index are written by search.build() in a folder of their own, which also keeps the plan short.
     """
+    import tempfile
+    import uuid
+
     from pyspark.sql import functions as f
 
     from quillmesh.config import Settings
-    from quillmesh.plans import search
+    from quillmesh.plans import graph_queries, search
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", (f.col("doc_id") % 3 + 1).alias("class"))
-    settings = Settings(encoders=("hash_a", "hash_b"))
-    rows = search.rows_of(docs).persist()
-    tables = {"rows": rows}
-    v = [encoders.encode(rows.select("row_id", "embed_text", "doc", "class"), encoders.ENCODERS[s], "embed_text").withColumn("slug", f.lit(s)).persist() for s in settings.encoders]
-    tables["vectors"] = v[0].unionByName(v[1]).select("row_id", "v", "slug")
-    for key in ("class", "doc"):
-        parts = [vectors.centroids(x, key).withColumn("slug", f.lit(s)) for x, s in zip(v, settings.encoders, strict=True)]
-        tables[f"{key}_centroids"] = parts[0].unionByName(parts[1])
-    r = search.Retriever.__new__(search.Retriever)
-    r.settings, r.table, r.rows, r.vectors, r.use_graph = settings, tables.__getitem__, rows, tables["vectors"], False
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmesh-")
+    settings = Settings().at(f"{shared.rstrip('/')}/quillmesh/index-{uuid.uuid4().hex}")
+    search.build(docs, settings, f.broadcast(graph_queries._gaz(spark)))
+    r = search.Retriever(spark, settings)
     found, frags = r.search(_questions(spark, sf_dir))
     return sinks.result_objects(found, frags).select("query_id", F.to_json("documents").alias("documents"), F.size("fragments").alias("n_fragments"))
 
