@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import itertools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where a session names no shared folder (tests, a laptop), lineage is cut in a folder of this process.
+#: Where a local session names no shared folder (tests, a laptop), lineage is cut in a folder of this process.
 _own_dir: list[str] = []
+#: What cut() has written and nothing has released: path -> session.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +23,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="quillmesh-"))
     return _own_dir[0]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/quillmesh/{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it again: lineage ends there and a lost executor loses nothing.
+
+    The table goes when release() is called on what this returns, or else when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of cut() on which nothing depends any more but what has been written again."""
+    for x in tables:
+        path = getattr(x, "_written", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path, spark in _written.items():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, path)
+    for path in _own_dir:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def private(*tables: DataFrame, stem: str = "_own") -> str:
+    """A column name that none of these tables has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    return next(x for i in itertools.count() if (x := f"{stem}{i}") not in taken)
 
 
 #: The most rows of a narrow table (a few numbers each) that are broadcast; larger ones are shuffled.

@@ -1,21 +1,24 @@
 """MinHash near-dedup with HyperMinHash registers.
 
-Sketch: of `REGISTERS` keyed hashes of a document's distinct word shingles, each register keeps the least value as
-its count of leading zeros and the `MANTISSA` bits after the leading one. Bands of `ROWS` registers give bucket keys:
-at a similarity of 0.8 a pair misses all `BANDS` buckets with a chance below 3e-6. Documents with one shingle set
-are one class, represented by its least doc_id. Pairs of representatives that share a bucket are first compared by
-the registers, with Jaccard similarity corrected for registers that collide by chance; pairs more than six standard
-errors below the threshold go, and all others are confirmed on full shingle sets read from the texts.
-
-Buckets are not expanded into all pairs. Each member is first paired with one centre of its bucket; links are
-confirmed and components found. In buckets that still hold several components, a member goes if it can't reach the
-threshold with any other: shingles that no second candidate has can't be shared, and what is left of its set must
-suffice against the smallest member. Those that stay are paired with several centres of the bucket's largest component,
-and what then still stands in different components is compared across, so no pair that shares a bucket and could join
-two components is skipped. Hot keys are grouped with map-side combine and joined by (key, salt).
+Sketch: one 64-bit hash of each distinct word shingle. Its upper bits route it to one of `REGISTERS` buckets; a bucket's
+register keeps the least of its values as the count of leading zeros and the `MANTISSA` bits after the leading one, or 0
+where the bucket is empty. Consecutive registers form bands, fewer and wider ones for small sets (`BANDS`): between two
+sets at 0.8, differing shingles spoil at most as many bands as there are of them, and from some 150 shingles on a band of
+six agrees with a chance of 0.8 to the sixth, so all 42 disagree with a chance below 3e-6. Documents with one shingle set
+are one class, represented by its least doc_id. Pairs of representatives that share a band are first compared by their
+registers, with Jaccard similarity corrected for registers that collide by chance; pairs more than six standard errors
+below the threshold go (a true pair does with a chance of some 1e-9), and all others are confirmed on full shingle sets.
+
+Bands are not expanded into all pairs. Each member is paired with the least member of its bucket; links are confirmed and
+components found. In buckets that still hold several components, members are paired with the most typical one, whose
+shingles have the most owners. What then still stands in different components is joined by prefixes: shingles are
+ordered by rarity, and two sets that reach the threshold have one of their first n - 0.8 n + 1 in common, at places and
+sizes that leave enough of both sets. So no pair that shares a band and could join two components is skipped. Hot keys
+are grouped with map-side combine and joined by (key, salt).
 
 Null or blank text: an empty set, linked with nothing. A null doc_id: linked with nothing, its component is null and
-it is kept. Rows of one doc_id count as one document. Extra columns pass through keep_first. An empty table stays empty.
+it is kept. Rows of one doc_id count as one document. Extra columns pass through keep_first, whatever their names. An
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,27 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, partitions, small, with_group_min
+from quillmesh.llm.common import cut, partitions, private, small, with_group_min
 from quillmesh.llm.graphs import merged
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 42, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 252
 MANTISSA = 10
+#: Number of bands by set size, from the size on: (size, bands). Sets of fewer shingles equal another or don't reach 0.8.
+BANDS = ((4, 42), (8, 12), (20, 9), (40, 14), (80, 21), (150, 42))
 #: The most doc_ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: A shingle of at most so many candidates is looked at by its owners.
-FEW = 16
-#: Centres of a bucket's largest component in the second turn.
-CENTRES = 8
 
-_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, REGISTERS, dtype=np.uint64)
-_ODD = np.random.default_rng(20240301).integers(1, 2**63, (2, max(REGISTERS, 64)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20240301).integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHash(dict):
@@ -65,23 +64,29 @@ def shingles(text: str | None, width: int, memo: WordHash) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: only A-Z, and the six ASCII blanks
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.array([memo[x] for x in words], np.uint64)
+    w = np.fromiter((memo[x] for x in words), np.uint64, len(words))
     k = min(width, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
-        h = (h ^ w[i : len(w) - k + 1 + i]) * _ODD[0, i]
+        h = (h ^ w[i : len(w) - k + 1 + i]) * _ODD[0, i % 8]
         h ^= h >> np.uint64(29)
     return np.unique(h * _ODD[1, 0])
 
 
 def registers(h: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers: leading zeros in the upper bits, mantissa below."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 2048):
-        x = (h[at : at + 2048, None] ^ _SEEDS) * _ODD[1, :REGISTERS]
-        np.minimum(low, x.min(0), out=low)
-    m, e = np.frexp(np.maximum(low, 1).astype(np.float64))
-    return ((64 - e).astype(np.uint16) << np.uint16(MANTISSA)) | np.minimum(((m - 0.5) * 2 * (1 << MANTISSA)).astype(np.uint16), np.uint16((1 << MANTISSA) - 1))
+    """HyperMinHash registers of sorted hashes: leading zeros in the upper bits, mantissa below; 0 is an empty bucket."""
+    out = np.zeros(REGISTERS, np.uint16)
+    if not len(h):
+        return out
+    bucket = ((h >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)  # rises with h
+    v = (h ^ (h >> np.uint64(31))) * _ODD[1, 1]
+    v = (v ^ (v >> np.uint64(28))) * _ODD[1, 2]
+    first = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+    m, e = np.frexp(np.maximum(np.minimum.reduceat(v, first), 1).astype(np.float64))
+    zeros = np.minimum(64 - e, 62).astype(np.uint16)
+    mantissa = np.minimum(((m - 0.5) * 2 * (1 << MANTISSA)).astype(np.uint16), np.uint16((1 << MANTISSA) - 1))
+    out[bucket[first].astype(np.int64)] = (zeros << np.uint16(MANTISSA) | mantissa) + np.uint16(1)
+    return out
 
 
 def _cells() -> tuple[np.ndarray, np.ndarray]:
@@ -92,24 +97,38 @@ def _cells() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Collisions:
-    """Chance that registers of sets of n and m values agree though their least values differ."""
+    """Chance that registers of buckets with so many values agree though their least values differ."""
 
     def __init__(self) -> None:
         self.low, self.high = _cells()
         self.law: dict[int, np.ndarray] = {}
+        self.known: dict[tuple[int, int], float] = {}
 
     def of(self, n: int, m: int) -> float:
-        n, m = (1 << max(0, round(np.log2(max(1, x)))) for x in (n, m))
-        for x in (n, m):
-            if x not in self.law:
-                self.law[x] = np.exp(x * np.log1p(-self.low)) - np.exp(x * np.log1p(-np.minimum(self.high, 1 - 1e-16)))
-        return float((self.law[n] * self.law[m]).sum())
+        """For sets of n and m shingles."""
+        at = tuple(sorted(max(0, round(np.log2(max(1, x / REGISTERS)))) for x in (n, m)))
+        if at not in self.known:
+            for e in at:
+                if e not in self.law:
+                    self.law[e] = np.exp(2**e * np.log1p(-self.low)) - np.exp(2**e * np.log1p(-np.minimum(self.high, 1 - 1e-16)))
+            self.known[at] = float((self.law[at[0]] * self.law[at[1]]).sum())
+        return self.known[at]
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int, collisions: Collisions) -> tuple[float, int]:
+    """Jaccard similarity from two sketches, corrected for chance agreement, and the number of buckets it rests on."""
+    filled = int(((a | b) > 0).sum())
+    if not filled:
+        return 0.0, 0
+    c = collisions.of(n, m)
+    agree = int(((a == b) & (a > 0)).sum())
+    return max(0.0, (agree / filled - c) / (1 - c)), filled
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int, collisions: Collisions) -> float:
-    """Jaccard similarity from two sketches, corrected for chance agreement."""
-    c = collisions.of(n, m)
-    return max(0.0, ((a == b).mean() - c) / (1 - c))
+def hopeful(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float, collisions: Collisions) -> bool:
+    """The estimate isn't more than six standard errors below the threshold."""
+    j, filled = estimate(a, b, n, m, collisions)
+    return j >= threshold - 6 * (threshold * (1 - threshold) / max(1, filled)) ** 0.5
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -128,8 +147,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_shingles long, set binary, regs binary")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """key, rep, n: a row for each band of each representative."""
+def bandings(n: int, threshold: float) -> list[int]:
+    """Places in BANDS of a set of n shingles: its own, and those that a larger set at the threshold has as its own."""
+    own = [i for i, (size, _) in enumerate(BANDS) if size <= n]
+    return ([own[-1]] if own else []) + [i for i, (size, _) in enumerate(BANDS) if n < size <= n / threshold + 1e-9]
+
+
+def buckets(classes: DataFrame, threshold: float) -> DataFrame:
+    """key, rep, n: a row for each band, of each representative, that has a shingle in it."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,12 +162,20 @@ def buckets(classes: DataFrame) -> DataFrame:
                 part = batch.iloc[at : at + 2000]
                 if not len(part):
                     continue
-                r = np.frombuffer(b"".join(part["regs"]), np.uint16).reshape(len(part), BANDS, ROWS).astype(np.uint64)
-                key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), r.shape[:2]).copy()
-                for i in range(ROWS):
-                    key = (key ^ r[:, :, i]) * _ODD[0, 8 + i]
-                    key ^= key >> np.uint64(31)
-                yield pd.DataFrame({"key": key.astype(np.int64).ravel(), "rep": np.repeat(part["rep"].to_numpy(), BANDS), "n": np.repeat(part["n"].to_numpy(), BANDS)})
+                regs = np.frombuffer(b"".join(part["regs"]), np.uint16).reshape(len(part), REGISTERS).astype(np.uint64)
+                rep, n = part["rep"].to_numpy(), part["n"].to_numpy()
+                at_sizes = {x: bandings(int(x), threshold) for x in np.unique(n)}
+                for i, (_, bands) in enumerate(BANDS):
+                    own = np.array([i in at_sizes[x] for x in n])
+                    if not own.any():
+                        continue
+                    r = regs[own].reshape(int(own.sum()), bands, REGISTERS // bands)
+                    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(64 * i), r.shape[:2]).copy()
+                    for k in range(r.shape[2]):
+                        key = (key ^ r[:, :, k]) * _ODD[0, 8 + k % 32]
+                        key ^= key >> np.uint64(31)
+                    full = r.any(2)
+                    yield pd.DataFrame({"key": key[full].astype(np.int64), "rep": np.repeat(rep[own], full.sum(1)), "n": np.repeat(n[own], full.sum(1))})
 
     return classes.select("rep", "n", "regs").mapInPandas(scan, "key long, rep long, n long")
 
@@ -156,24 +189,19 @@ def shared(rows: DataFrame) -> DataFrame:
     return salted.join(many, ["key", "_salt"]).drop("_salt")
 
 
-def _alike(n: str, m: str, threshold: float):
+def _alike(n: str, m: str, threshold: float) -> Column:
     """Sets of these sizes can reach the threshold."""
     return F.least(n, m) >= F.ceil(threshold * F.greatest(n, m) - 1e-9)
 
 
-def _enough(c: str, d: str, n: str, m: str, threshold: float):
-    """As _alike, for sets of n and m shingles of which c and d can be in common: n + m need t / (1 + t) of it shared."""
-    return _alike(n, m, threshold) & (F.least(c, d) * (1 + threshold) >= threshold * (F.col(n) + F.col(m)) - 1e-6)
-
-
-def _with(rows: DataFrame, per_key: DataFrame) -> DataFrame:
+def _with(rows: DataFrame, per_key: DataFrame, key: str = "key") -> DataFrame:
     """rows joined with a written table of one row for each key: by broadcast while it is small, else over (key, salt)."""
     few = small(per_key)
     if few is not per_key:
-        return rows.join(few, "key")
+        return rows.join(few, key)
     salts = max(64, partitions(rows.sparkSession))
     x = rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
-    return x.join(x.select("key", "_salt").distinct().join(per_key, "key"), ["key", "_salt"]).drop("_salt")
+    return x.join(x.select(key, "_salt").distinct().join(per_key, key), [key, "_salt"]).drop("_salt")
 
 
 def star(rows: DataFrame, threshold: float) -> DataFrame:
@@ -183,17 +211,6 @@ def star(rows: DataFrame, threshold: float) -> DataFrame:
     return x.select(F.col("_c.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def stars(rows: DataFrame, threshold: float, centres: int = CENTRES) -> DataFrame:
-    """(a, b): members of a bucket outside its largest component with several centres of that component.
-
-    A centre is the least member by a hash; there is one hash for each.
-    """
-    size = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"), *(F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)).alias("o"), "rep", "n", "c")).alias(f"_c{i}") for i in range(centres)))
-    most = size.groupBy("key").agg(F.max(F.struct("_n", "label", F.array_distinct(F.array(*(F.struct(f"_c{i}.rep", f"_c{i}.n", f"_c{i}.c") for i in range(centres)))).alias("c"))).alias("_m"))
-    x = _with(rows, cut(most, "centres")).where(F.col("label") != F.col("_m.label")).select("rep", "n", "c", F.explode("_m.c").alias("_c"))
-    return x.where(_enough("c", "_c.c", "n", "_c.n", threshold)).select(F.col("_c.rep").alias("a"), F.col("rep").alias("b")).distinct()
-
-
 def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows, with their labels, of the buckets that hold several components."""
     at = rows.drop("label").join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -201,108 +218,127 @@ def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(at.join(small(several), "key", "left_semi"), "buckets")
 
 
-def possible(rows: DataFrame, members: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """rows, with c: how many shingles a member can share, without those that can't be linked within their bucket; and
-    the pairs (a, b) that c leaves out.
+def hashed(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, v (a number of the set), n, regs, s (the sorted hashes): the sets of these ids, each once.
 
-    A shingle that at most FEW candidates have can be in common among these only: pairs of them are tried if what they
-    share so and otherwise could suffice, and for all other pairs the shingle doesn't count. With c left, a set of n shingles reaches the
-    threshold only with sizes up to c * (1 + t) / t - n; a member stays if its bucket has one of such a size, by classes
-    of sizes. Each member looks at about ten classes, so nothing here grows with the square of a bucket.
+    A known number of ids is broadcast, more are shuffled.
     """
-    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         memo = WordHash()
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                rows = []
+                for doc, text in batch.iloc[at : at + 500].itertuples(index=False):
+                    h = shingles(text, width, memo)
+                    rows.append((doc, xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), len(h), registers(h).tobytes(), h.tobytes()))
+                yield pd.DataFrame(rows, columns=["doc_id", "v", "n", "regs", "s"])
+
+    own = docs.select("doc_id", "text").join(small(ids, BROADCAST_IDS), "doc_id")
+    return own.mapInPandas(scan, "doc_id long, v long, n long, regs binary, s binary").where("n > 0").dropDuplicates(["doc_id", "v"])
+
+
+def owned(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """s, rep, v, n, df: a row for each shingle of each representative in rows, with the number of its owners."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                sets = [shingles(t, width, memo) for t in part["text"]]
-                yield pd.DataFrame({"s": np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64), "rep": np.repeat(part["doc_id"].to_numpy(), [len(x) for x in sets])})
-
-    every = members.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInPandas(scan, "s long, rep long")
-    # the first owners of each shingle: a frequent one reaches no task with more than FEW + 1 rows from each task before
-    first = F.row_number().over(W.partitionBy("s").orderBy("rep"))
-    owners = every.withColumn("_k", first).where(F.col("_k") <= FEW + 1).groupBy("s").agg(F.sort_array(F.collect_list("rep")).alias("o")).where(F.size("o") <= FEW)
-    owners = cut(owners.groupBy("o").agg(F.count(F.lit(1)).alias("_n")), "owners")
-    alone = owners.select(F.explode(F.array_distinct("o")).alias("rep"), "_n").groupBy("rep").agg(F.sum("_n").alias("_alone"))
-    # an id with several texts has several sets, whose counts would mix; it stays
-    twice = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("rep"))
-    alone = cut(alone.join(twice, "rep", "left_anti"), "alone")
-    step = F.lit(float(np.log(1.05)))
-    size_class = lambda x: F.floor(F.log(x.cast("double")) / step).cast("int")
-    x = rows.join(small(alone), "rep", "left").withColumn("c", F.col("n") - F.coalesce("_alone", F.lit(0)))
-    known = cut(x.select("rep", "n", "c", "label").distinct(), "known")
-    of = lambda e: small(known).select(F.col("rep").alias(e), *(F.col(k).alias(f"{k}_{e}") for k in ("n", "c", "label")))
-    two = F.flatten(F.transform("o", lambda a, i: F.transform(F.filter("o", lambda b, j: j > i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    rare = owners.where(F.size("o") > 1).select(F.explode(two).alias("_p"), "_n").select("_p.a", "_p.b", "_n").where("a <> b").groupBy("a", "b").agg(F.sum("_n").alias("_r"))
-    rare = rare.join(of("a"), "a").join(of("b"), "b").where((F.col("label_a") != F.col("label_b")) & _alike("n_a", "n_b", threshold))
-    rare = rare.where((F.least("c_a", "c_b") + F.col("_r")) * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b").distinct()
-    low = F.ceil(F.col("n") * threshold - 1e-6)
-    high = F.least(F.floor(F.col("n") / threshold + 1e-6), F.floor(F.col("c") * ((1 + threshold) / threshold) + 1e-6) - F.col("n"))
-    x = cut(x.where(high >= low).select("key", "rep", "n", "label", "c", F.explode(F.sequence(size_class(low), size_class(high))).alias("class")), "classes")
-    there = rows.select("key", size_class(F.col("n")).alias("class")).distinct()
-    return x.join(there, ["key", "class"], "left_semi").select("key", "rep", "n", "label", "c").distinct(), rare
-
-
-def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all members of a bucket that stand in different components."""
-    one = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("_n"), F.col("c").alias("_c"), F.col("label").alias("_label"))
-    other = rows.select(F.col("key").alias("_key"), F.col("rep").alias("b"), "n", "c", "label")
-    on = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("_label")) & _enough("c", "_c", "n", "_n", threshold)
-    return one.join(other, on).select("a", "b").distinct()
-
-
-def confirmed(pairs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Pairs that reach the threshold. members: doc_id, n, regs, text.
-
-    The registers' estimate comes first; what it doesn't rule out is confirmed on the full shingle sets. a may be in
-    a third of all pairs, so it meets its row over (a, salt); b is in a bounded number of pairs.
+                n = part["n"].to_numpy()
+                s = np.frombuffer(b"".join(part["s"]), np.int64)
+                yield pd.DataFrame({"s": s, "rep": np.repeat(part["doc_id"].to_numpy(), n), "v": np.repeat(part["v"].to_numpy(), n), "n": np.repeat(n, n)})
+
+    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    every = sets.join(small(ids), "doc_id", "left_semi").select("doc_id", "v", "n", "s").mapInPandas(scan, "s long, rep long, v long, n long")
+    every = cut(every, "shingles")
+    return _with(every, cut(every.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "owners"), "s")
+
+
+def typical(rows: DataFrame, shared_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the most typical member of a bucket, and of its largest component, with the members in other components.
+
+    A member is typical if the logarithms of its shingles' owners, that is, of how many sets it could be near, have a
+    high mean.
+    """
+    worth = cut(shared_.groupBy("rep", "v", "n").agg((F.sum(F.log2("df")) / F.first("n")).alias("w")).groupBy("rep").agg(F.max("w").alias("w")), "worth")
+    x = rows.join(small(worth), "rep", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    best = F.max(F.struct("w", F.negative("rep").alias("_o"), "rep", "n", "label"))
+    per = x.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"), best.alias("_b"))
+    per = per.groupBy("key").agg(F.max("_b").alias("_c"), F.max(F.struct("_n", "_b")).alias("_m"))
+    per = cut(per.select("key", F.array_distinct(F.array(F.struct("_c.rep", "_c.n", "_c.label"), F.struct("_m._b.rep", "_m._b.n", "_m._b.label"))).alias("_c")), "centres")
+    x = _with(rows, per).select("rep", "n", "label", F.explode("_c").alias("_c"))
+    return x.where((F.col("label") != F.col("_c.label")) & _alike("n", "_c.n", threshold)).select(F.col("_c.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def prefixed(rows: DataFrame, shared_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): representatives in different components that have a shingle of their prefixes in common.
+
+    Shingles are ordered by owners, rarest first, so those without a second owner come before all others and are only
+    counted. At place p of n, at most n - p + 1 shingles can be in common from there on, which suffices for sizes up to
+    (n - p + 1) (1 + t) / t - n. A place goes if its shingle has no owner of such a size, or none in another component.
     """
-    x = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
-    few = x.select("a", "_salt").distinct().join(members.select(F.col("doc_id").alias("a"), F.struct("n", "regs", "text").alias("_a")), "a")
-    both = x.join(few, ["a", "_salt"]).join(members.select(F.col("doc_id").alias("b"), F.struct("n", "regs", "text").alias("_b")), "b")
-    both = both.select("a", "b", *(F.col(f"_{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("n", "regs", "text")))
-    least = threshold - 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    t = threshold
+    place = F.row_number().over(W.partitionBy("rep", "v").orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("rep", "v"))
+    x = shared_.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * t - 1e-6) + 1)
+    x = x.withColumn("most", F.floor((F.col("n") - F.col("p") + 1) * ((1 + t) / t) + 1e-6) - F.col("n"))
+    x = x.join(small(cut(rows.select("rep", "label").distinct(), "labels")), "rep").select("s", "rep", "n", "most", "label")
+    for _ in range(2):
+        x = cut(x, "places")
+        per = x.groupBy("s").agg(F.min("n").alias("_n"), F.min("label").alias("_l"), F.max("label").alias("_g")).where("_l <> _g").select("s", "_n")
+        x = _with(x, cut(per, "owners"), "s").where("most >= _n").drop("_n")
+    x = cut(x, "places")
+    one = x.select("s", F.col("rep").alias("a"), "n", "most", "label")
+    other = x.select(F.col("s").alias("_s"), F.col("rep").alias("b"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("label").alias("_label"))
+    fits = (F.col("a") < F.col("b")) & (F.col("label") != F.col("_label")) & (F.col("most") >= F.col("_n")) & (F.col("_most") >= F.col("n")) & _alike("n", "_n", t)
+    return one.join(other, (F.col("s") == F.col("_s")) & fits).select("a", "b").distinct()
+
+
+def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with these columns of both members, as <column>_a and <column>_b.
+
+    a may be in a third of all pairs, so it meets its row over (a, salt); b is in few pairs.
+    """
+    x = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(max(16, partitions(pairs.sparkSession)))).cast("int"))
+    own = lambda e: sets.select(F.col("doc_id").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in columns))
+    return x.join(x.select("a", "_salt").distinct().join(own("a"), "a"), ["a", "_salt"]).join(own("b"), "b").drop("_salt")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold: first by the registers' estimate, and what it leaves by the full sets."""
     percent = round(100 * threshold)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, collisions = WordHash(), Collisions()
-        last, s = None, None
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        collisions = Collisions()
         for p in batches:
-            ok = []
-            for n, m, r, q, t, u in zip(p["n_a"], p["n_b"], p["regs_a"], p["regs_b"], p["text_a"], p["text_b"], strict=True):
-                if estimate(np.frombuffer(r, np.uint16), np.frombuffer(q, np.uint16), n, m, collisions) < least:
-                    ok.append(False)
-                    continue
-                if t != last:
-                    last, s = t, shingles(t, width, memo)
-                v = shingles(u, width, memo)
-                shared_ = len(np.intersect1d(s, v, assume_unique=True))
-                ok.append(100 * shared_ >= percent * (len(s) + len(v) - shared_))
+            a, b = (np.frombuffer(b"".join(p[f"regs_{e}"]), np.uint16).reshape(len(p), REGISTERS) for e in "ab")
+            ok = np.array([hopeful(x, y, n, m, threshold, collisions) for x, y, n, m in zip(a, b, p["n_a"], p["n_b"], strict=True)], bool)
             yield p.loc[ok, ["a", "b"]]
 
-    return both.mapInPandas(scan, "a long, b long").distinct()
-
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            ok = []
+            for x, y in zip(p["s_a"], p["s_b"], strict=True):
+                s, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(s, v, assume_unique=True))
+                ok.append(100 * both >= percent * (len(s) + len(v) - both))
+            yield p.loc[np.array(ok, bool), ["a", "b"]]
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of these ids; a known number of ids is broadcast, more are shuffled."""
-    own = docs.select("doc_id", "text")
-    few = ids.count() <= BROADCAST_IDS
-    return own.join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id", "text"])
+    left = cut(_sides(pairs, sets, ["n", "regs"]).mapInPandas(guess, "a long, b long").distinct(), "hopeful")
+    return _sides(left, sets, ["s"]).mapInPandas(verify, "a long, b long").distinct()
 
 
 def classify(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that a document reaches over confirmed links."""
     sketch = cut(sketches(docs, width), "sketches")
-    sets = sketch.where("n_shingles > 0 and doc_id is not null")
-    member = with_group_min(sets, "set", "doc_id", "rep", "copies")
+    own = sketch.where("n_shingles > 0 and doc_id is not null")
+    member = with_group_min(own, "set", "doc_id", "rep", "copies")
     member = cut(member.select("doc_id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "members")
     classes = member.where("doc_id = rep").select("rep", "n", "regs")
-    rows = cut(shared(buckets(classes)).distinct(), "buckets")
-    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    members = classes.join(small(ids, BROADCAST_IDS).withColumnRenamed("doc_id", "rep"), "rep").distinct()
-    members = cut(texts_of(docs, ids).join(members.withColumnRenamed("rep", "doc_id"), "doc_id"), "texts")
+    rows = cut(shared(buckets(classes, threshold).distinct()), "buckets")
+    sets = cut(hashed(docs, cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids"), width), "sets")
     # rows of one doc_id that differ in text are one document: their classes are linked through it
     known = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")
     known = cut(known, "links")
@@ -315,18 +351,18 @@ def classify(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD)
             pairs = pairs.select("a", "b", *ends).join(small(tried), ["x", "y"], "left_anti").select("a", "b")
         pairs = cut(pairs, "pairs")
         now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        found = cut(confirmed(pairs, members, width, threshold), "found")
+        found = cut(confirmed(pairs, sets, threshold), "found")
         return (labels if found.isEmpty() else merged(labels, found)), cut(now if tried is None else tried.union(now), "tried")
 
     labels, tried = link(star(rows, threshold), None)
     rows = unsettled(rows, labels)
     if not rows.isEmpty():
-        rows, rare = possible(rows, members, width, threshold)
+        common = cut(owned(sets, rows), "owned")
+        labels, tried = link(typical(rows, common, threshold), tried)
         rows = unsettled(rows, labels)
-        labels, tried = link(stars(rows, threshold).union(rare).distinct(), tried)
-        rows = unsettled(rows, labels)
-    if not rows.isEmpty():
-        labels, tried = link(across(rows, threshold), tried)
+        if not rows.isEmpty():
+            left = cut(rows.select("rep").distinct(), "ids")
+            labels, tried = link(prefixed(rows, common.join(small(left), "rep", "left_semi"), threshold), tried)
     own = member.select("doc_id", "rep").join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
     got = own.groupBy(F.col("doc_id").alias("_id")).agg(F.min("rep").alias("_component"))
     return sketch.select("doc_id", "n_shingles").join(got, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
@@ -337,8 +373,9 @@ def keep_first(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD
 
     Of repeated rows of one doc_id, all stay or all go.
     """
-    gone = classify(docs, width, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    own = private(docs)
+    gone = classify(docs, width, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -90,14 +90,37 @@ def test_near_dups_of_odd_rows(make):
     assert near_dups.digest(make()).count() == 0 and near_dups.digest(make((1, None))).count() == 1
 
 
-def test_estimate_is_corrected():
+@pytest.mark.parametrize("n", [300, 2000, 40_000])
+def test_estimate_is_corrected(n):
     r = np.random.default_rng(0)
     for j in (0.0, 0.5, 0.8, 0.95):
-        n = 2000
-        both = r.integers(0, 2**63, int(2 * n * j / (1 + j)), dtype=np.uint64)
-        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, n - len(both), dtype=np.uint64)])) for _ in range(2))
-        got = near_dups.estimate(near_dups.registers(a), near_dups.registers(b), len(a), len(b), near_dups.Collisions())
-        assert got == pytest.approx(j, abs=0.13)
+        both = r.integers(0, 2**64, int(2 * n * j / (1 + j)), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**64, n - len(both), dtype=np.uint64)])) for _ in range(2))
+        got, filled = near_dups.estimate(near_dups.registers(a), near_dups.registers(b), len(a), len(b), near_dups.Collisions())
+        assert got == pytest.approx(j, abs=0.13) and (filled == near_dups.REGISTERS or n == 300)
+
+
+@pytest.mark.parametrize("n", [4, 7, 8, 10, 15, 20, 39, 40, 79, 80, 140, 160, 1000])
+def test_sets_at_the_threshold_share_a_band(n):
+    """Every pair of sets with as many differing shingles as 0.8 allows, of 300 tried, meets in a bucket."""
+    r = np.random.default_rng(n)
+    for k in range(300):
+        more = k % 2 * (n // 4)  # one set holds the other, or both have shingles of their own
+        only = 0 if more else max(1, int(n / 9)) if n > 8 else 0
+        both = r.integers(0, 2**64, n - only, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**64, x, dtype=np.uint64)])) for x in (only, only + more))
+        keys = []
+        for s in (a, b):
+            regs = near_dups.registers(s)
+            keys.append({(i, j, row.tobytes()) for i in near_dups.bandings(len(s), 0.8) for j, row in enumerate(regs.reshape(near_dups.BANDS[i][1], -1)) if row.any()})
+        assert keys[0] & keys[1], (len(a), len(b))
+
+
+def test_extra_columns_may_have_any_name(make):
+    docs = make((1, "a b c d e f"), (2, "a b c d e f"))
+    for name in ("_id", "_own0", "rep", "set", "component_id", "_t"):
+        kept = near_dups.keep_first(docs.withColumnRenamed("n_chars", name))
+        assert [r["doc_id"] for r in kept.collect()] == [1] and name in kept.columns
 
 
 def test_components_of_paths_and_stars(spark):
