@@ -3,8 +3,8 @@
 Sketch: one 64-bit hash of each distinct word shingle. Its upper bits route it to one of `REGISTERS` buckets; a bucket's
 register keeps the least of its values as the count of leading zeros and the `MANTISSA` bits after the leading one, or 0
 where the bucket is empty. Consecutive registers form bands, fewer and wider ones for small sets (`BANDS`): between two
-sets at 0.8, differing shingles spoil at most as many bands as there are of them, and from some 150 shingles on a band of
-six agrees with a chance of 0.8 to the sixth, so all 42 disagree with a chance below 3e-6. Documents with one shingle set
+sets at 0.8, differing shingles spoil at most as many bands as there are of them, and of large sets a band of six registers
+agrees with a chance of 0.8 to the sixth; at every size a pair shares no band with a chance below 3e-6 (see the tests). Documents with one shingle set
 are one class, represented by its least doc_id. Pairs of representatives that share a band are first compared by their
 registers, with Jaccard similarity corrected for registers that collide by chance; pairs more than six standard errors
 below the threshold go (a true pair does with a chance of some 1e-9), and all others are confirmed on full shingle sets.
@@ -39,8 +39,8 @@ WORDS = 5
 THRESHOLD = 0.8
 REGISTERS = 252
 MANTISSA = 10
-#: Number of bands by set size, from the size on: (size, bands). Sets of fewer shingles equal another or don't reach 0.8.
-BANDS = ((4, 42), (8, 12), (20, 9), (40, 14), (80, 21), (150, 42))
+#: Number of bands by set size, from the size on: (size, bands). Smaller sets equal another or don't reach 0.8.
+BANDS = ((5, 28), (7, 12), (12, 9), (26, 12), (43, 14), (62, 18), (88, 28), (176, 36), (255, 42))
 #: The most doc_ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 

@@ -100,13 +100,43 @@ def test_estimate_is_corrected(n):
         assert got == pytest.approx(j, abs=0.13) and (filled == near_dups.REGISTERS or n == 300)
 
 
-@pytest.mark.parametrize("n", [4, 7, 8, 10, 15, 20, 39, 40, 79, 80, 140, 160, 1000])
+def missed(n, bands):
+    """Chance that sets at 0.8, the larger of n shingles, have no band with shingles in common and none that differs."""
+    worst = 0.0
+    for both in range(1, n + 1):
+        for apart in (n - both, 2 * (n - both)):  # one set holds the other, or each has as many of its own
+            if apart and both >= 0.8 * (both + apart) - 1e-9 and (both - 1) < 0.8 * (both + apart):
+                p = np.eye(1, bands + 1)[0]  # of so many bands spoiled
+                for _ in range(apart):
+                    p = p * np.arange(bands + 1) / bands + np.concatenate([[0], p[:-1] * (bands - np.arange(bands)) / bands])
+                worst = max(worst, float((p * (np.arange(bands + 1) / bands) ** both).sum()))
+    return worst
+
+
+def test_pairs_at_the_threshold_miss_all_bands_with_a_chance_below_3e_6():
+    """Exact up to 150 shingles. Beyond, a bucket holds several, and the bands that agree are counted in 200 trials: they
+    vary less than independent ones, whose chance of none is the bound."""
+    sizes = [a for a, _ in near_dups.BANDS] + [10**9]
+    for (a, bands), b in zip(near_dups.BANDS, sizes[1:], strict=True):
+        assert near_dups.REGISTERS % bands == 0 and max([missed(n, bands) for n in range(a, min(b, 150))], default=0) < 3e-6
+    r = np.random.default_rng(0)
+    for n in (175, 254, 600):
+        bands, agree = near_dups.BANDS[near_dups.bandings(n, 0.8)[0]][1], []
+        for _ in range(200):
+            both = r.integers(0, 2**64, n - n // 9, dtype=np.uint64)
+            a, b = (near_dups.registers(np.unique(np.concatenate([both, r.integers(0, 2**64, n // 9, dtype=np.uint64)]))).reshape(bands, -1) for _ in "ab")
+            agree.append(int(((a == b).all(1) & a.any(1)).sum()))
+        mean = np.mean(agree)
+        assert np.var(agree) < mean * (1 - mean / bands) and (1 - mean / bands) ** bands < 6e-6
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 11, 12, 25, 26, 42, 43, 61, 62, 87, 88, 140, 160, 1000])
 def test_sets_at_the_threshold_share_a_band(n):
     """Every pair of sets with as many differing shingles as 0.8 allows, of 300 tried, meets in a bucket."""
     r = np.random.default_rng(n)
     for k in range(300):
         more = k % 2 * (n // 4)  # one set holds the other, or both have shingles of their own
-        only = 0 if more else max(1, int(n / 9)) if n > 8 else 0
+        only = 0 if more else int(n / 9)
         both = r.integers(0, 2**64, n - only, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([both, r.integers(0, 2**64, x, dtype=np.uint64)])) for x in (only, only + more))
         keys = []
@@ -156,14 +186,14 @@ def brute_hits(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block_keys", [3, 50_000])
-def test_contamination_equals_brute_force(make, spark, block_keys, monkeypatch):
+@pytest.mark.parametrize(("most_keys", "most_rows"), [(3, 3), (50_000, 50_000)])
+def test_contamination_equals_brute_force(make, spark, most_keys, most_rows, monkeypatch):
     r = random.Random(3)
     item = [" ".join(r.choice(["the", "of", "Alpha", "İx", "beta9", "éa", "K"]) + r.choice(["", "", str(r.randint(0, 30))]) for _ in range(n)) for n in (30, 12, 10, 4, 1, 11, 25)]
     items = list(enumerate(item)) + [(7, None), (8, "... !!"), (None, "zeta " * 10), (9, item[1])]
     docs = [(0, None), (1, ""), (2, item[0].upper()), (3, "x, " + item[0].replace(" ", " - ") + "! y"), (4, " ".join(item[0].split()[5:20])), (5, " ".join(item[0].split()[:9])), (6, item[3] + " " + item[3]), (7, "zeta " * 30), (8, " ".join(item[1].split()[1:] + item[1].split()[:1]))]
     docs += [(20 + i, " ".join(r.choice(item).split()[r.randint(0, 5) :] * 2)) for i in range(25)]
-    monkeypatch.setattr(decontaminate.hits, "__defaults__", (decontaminate.WIDTH, block_keys))
+    monkeypatch.setattr(decontaminate.hits, "__defaults__", (decontaminate.WIDTH, most_keys, most_rows))
     got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in decontaminate.digest(make(*docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == brute_hits(docs, items)
 
@@ -175,9 +205,21 @@ def test_contamination_of_odd_rows(make, spark):
     assert got == {(None, True): 1, (2, False): 2, (2, True): 1}
     left = decontaminate.remove(docs, items)
     assert left.columns == docs.columns and [r["text"] for r in left.collect()] == ["clean", "clean"]
+    for name in ("_id", "_t", "_h", "_id0", "_TEXT0"):
+        own = docs.withColumnRenamed("spans", name)
+        assert decontaminate.remove(own, items).columns == own.columns and decontaminate.remove(own, items).count() == 2
     assert decontaminate.digest(docs, items.limit(0)).where("contaminated").count() == 0 and decontaminate.digest(make(), items).count() == 0
 
 
+def test_contamination_of_long_items_and_hot_shingles(make, spark):
+    r = random.Random(8)
+    long = words(r, 20_000)
+    items = [(1, " ".join(long)), (2, "hot cold " * 5_000)] + [(100 + i, f"hot cold hot cold hot cold hot cold hot end{i % 50}") for i in range(2_000)]
+    docs = [(1, " ".join(long[5_000:9_000])), (2, "x hot cold hot cold hot cold hot cold hot end7 y"), (3, "hot cold " * 300), (4, " ".join(words(r, 3_000))), (5, " ".join(long[:9]))]
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in decontaminate.digest(make(*docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_hits(docs, items)
+
+
 def test_units_cover_the_words_of_a_text():
     t = "One line.\n\nA very long line that has many words in it so it is cut. Second part of it here! Third\n  \nlast"
     got = list(substrings.units(t))
