@@ -1,33 +1,35 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame operations only.
 
-A window is a run of `width` consecutive words of an item (or the whole item if shorter). A document that holds a
-window holds all its words, so one necessary word is enough to find it: the window's words are ordered by how rare
-they are in the corpus and the rarest is its prefix. Documents' words join the prefixes; a positional and a length
-bound discard places where the window can't lie, the word on one side must agree, and the aligned words are then
-compared exactly as far as windows reach. The words of every confirmed run are hit.
-
-The prefixes are taken in blocks of at most `block_keys` words, each against all documents; a larger benchmark takes
-more blocks, never a larger broadcast. Only the words around a place that may start a match leave the array of a
-document's words, so rows stay short however long the text.
+A window is a run of `width` consecutive words of an item (or the whole item if shorter), seen as the set of its two-word
+shingles with their places. A document that holds a window holds all of its shingles, so with exact containment one of
+them is a sufficient prefix: a window's shingles are ordered by how rare they are in the corpus, and the rarest is
+joined with the documents' shingles (an item of one word has that word as its shingle). A length and a positional bound
+discard places where the window can't lie, and the aligned words are then compared exactly as far as windows reach. The
+words of every confirmed run are hit.
+
+Items are cut once into shingles, which meet their counts by one join; windows then choose within one array an item, so
+nothing grows with the product of windows and item length. Only the words around a place that may start a match leave
+the array of a document's words, so rows stay short however long the text. While the prefixes are few (their number is
+counted), places are picked inside the scan of the documents and prefixes are broadcast; more are joined by a shuffle.
 
 Null or empty text: no words, nothing hit. Items without words have no window; an item whose id is null marks words
-but isn't listed. Rows with one doc_id and one text have equal results; a doc_id may be null. Extra columns are not
-returned by hits(). An empty benchmark hits nothing; empty documents give an empty table.
+but isn't listed. Rows with one doc_id and one text have equal results; a doc_id may be null. Extra columns, whatever
+their names, are not returned by hits() and pass through remove(). An empty benchmark hits nothing; empty documents give
+an empty table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut
+from quillmesh.llm.common import cut, private
 
 WIDTH = 10
-#: Prefix words in one pass over the documents, and distinct words of a benchmark that are broadcast to be counted.
-BLOCK_KEYS = 50_000
-BROADCAST_WORDS = 1_000_000
+#: The most prefix shingles that are picked inside the scan; and the most rows of prefixes, each with two times `width`
+#: words at most, and of distinct shingles that are broadcast.
+PICKED_KEYS = 20_000
+BROADCAST_ROWS, BROADCAST_SHINGLES = 50_000, 500_000
 #: Fixed by the contract: a word is a run of digits, letters and all beyond ASCII. Case is left for later: full
 #: lower-casing is cheap and never splits a word, so it finds candidates; A-Z alone are lowered to confirm them.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,23 +45,33 @@ def lowered(a: Column) -> Column:
     return F.when(F.size(a) == 0, a).otherwise(F.split(F.translate(F.array_join(a, " "), UPPER, LOWER), " "))
 
 
+def shingles(low: Column) -> Column:
+    """The two-word shingle at each place of an array of words in lower case; at the last place, the word alone."""
+    return F.when(F.size(low) == 0, low).otherwise(F.zip_with(low, F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def prefixes(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key, item_id, left and right (the words beside the prefix as far as windows reach), need (words in a window)."""
-    own = items.select("item_id", lowered(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    vocabulary = own.select(F.explode("w").alias("w")).select(F.lower("w").alias("key")).distinct()
-    counts = docs.select(F.explode(words(F.col("text"))).alias("_w")).select(F.lower("_w").alias("key"))
-    counts = counts.join(vocabulary if vocabulary.count() > BROADCAST_WORDS else F.broadcast(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    window = own.select("item_id", "w", F.least(F.size("w"), F.lit(width)).alias("need")).withColumn("at", F.explode(F.expr("sequence(1, size(w) - need + 1)")))
-    spot = window.select("item_id", "w", "need", "at", F.explode(F.expr("sequence(at, at + need - 1)")).alias("pos")).withColumn("key", F.lower(F.element_at("w", F.col("pos"))))
-    rarest = spot.join(counts, "key", "left").groupBy("item_id", "w", "need", "at").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "pos")).alias("p"))
-    chosen = rarest.select("item_id", "w", "need", "p.key", "p.pos").distinct()
-    # left is read outwards from the prefix
-    return chosen.select(
-        "key", "item_id", "need",
-        F.expr("reverse(slice(w, greatest(1, pos - need + 1), pos - greatest(1, pos - need + 1)))").alias("left"),
-        F.expr("slice(w, pos + 1, need - 1)").alias("right"),
-        F.expr("element_at(w, pos)").alias("word"),
+    """key, item_id, word, left and right (the words beside it as far as windows reach), need (words in a window)."""
+    own = items.select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("_k"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    own = own.select("item_id", "_k", lowered(F.col("_w")).alias("w"), F.least(F.size("_w"), F.lit(width)).alias("need"), (F.transform("_w", F.lower) if width == 1 else shingles(F.transform("_w", F.lower))).alias("_s"))
+    own = cut(own, "items")
+    spot = own.select("_k", F.posexplode("_s").alias("pos", "key"))
+    vocabulary = cut(spot.select("key").distinct(), "shingles")
+    low = F.transform(words(F.col("text")), F.lower)
+    # a document's last place has its word alone, and an item of one word counts by such places only: any order will do
+    counts = docs.select(F.explode(shingles(low)).alias("key"))
+    counts = counts.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_SHINGLES else vocabulary, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct("pos", F.coalesce("n", F.lit(0)).alias("n"), "key")
+    ranked = spot.join(counts, "key", "left").groupBy("_k").agg(F.array_sort(F.collect_list(place)).alias("_t")).withColumnRenamed("_k", "_k2")
+    window = lambda at: F.array_min(F.transform(F.slice("_t", at, F.greatest(F.col("need") - 1, F.lit(1))), lambda x: F.struct(x["n"], x["key"], x["pos"])))
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("need") + 1), window))
+    pos = lambda c: c["pos"] + 1
+    first = lambda c: F.greatest(F.lit(1), pos(c) - F.col("need") + 1)
+    beside = lambda c: F.struct(  # noqa: E731  left is read outwards from the word
+        c["key"].alias("key"), F.reverse(F.slice("w", first(c), pos(c) - first(c))).alias("left"), F.slice("w", pos(c) + 1, F.col("need") - 1).alias("right"), F.get("w", c["pos"]).alias("word"),
     )
+    x = own.join(ranked, F.col("_k") == F.col("_k2"))
+    return x.select("item_id", "need", F.explode(F.transform(chosen, beside)).alias("_c")).select("_c.key", "item_id", "need", "_c.left", "_c.right", "_c.word").distinct()
 
 
 def _agree(theirs: Column, ours: Column) -> Column:
@@ -69,18 +81,43 @@ def _agree(theirs: Column, ours: Column) -> Column:
     return F.when(F.size(differ) == 0, F.least(F.size(theirs), F.size(ours))).otherwise(first - 1)
 
 
-def runs(docs: DataFrame, prefix: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
-    """doc_id, _h, item_id, first, last: confirmed runs of words, numbered from 1. keys: the key of each prefix."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("_h"), words(F.col("text")).alias("_w"))
-    at = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: F.lower(F.get("_w", i - 1)).isin(keys))
+def _set(values: list[str]) -> str:
+    """SQL's list of words; they have no ASCII sign but the blank, so nothing needs to be escaped."""
+    return ", ".join(f"'{x}'" for x in sorted(values))
+
+
+def picked(d: DataFrame, keys: list[str]) -> DataFrame:
+    """d (_w: words) with _at: the places, from 1, of these shingles; picked inside the scan of the documents."""
+    pairs, single = [k for k in keys if " " in k], [k for k in keys if " " not in k]
+    tests = [f"_l[i - 1] IN ({_set({k.split(' ')[0] for k in pairs})}) AND concat_ws(' ', _l[i - 1], get(_l, i)) IN ({_set(pairs)})"] if pairs else []
+    tests += [f"_l[i - 1] IN ({_set(single)})"] if single else []
+    where = " OR ".join(f"({t})" for t in tests) or "false"
+    return d.withColumn("_l", F.transform("_w", F.lower)).withColumn("_at", F.expr(f"filter(sequence(1, size(_w)), i -> {where})")).drop("_l")
+
+
+def joined(d: DataFrame, prefix: DataFrame) -> DataFrame:
+    """As picked(), for any number of shingles: the documents' shingles meet them by a shuffle, without their texts."""
+    low = F.transform("_w", F.lower)
+    spot = d.select("doc_id", "_h", F.posexplode(F.zip_with(shingles(low), low, lambda a, b: F.array_distinct(F.array(a, b)))).alias("_p", "_s")).select("doc_id", "_h", "_p", F.explode("_s").alias("key"))
+    spot = spot.join(prefix.select("key").distinct(), "key", "left_semi")
+    per = spot.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2")).agg(F.collect_set(F.col("_p") + 1).alias("_at"))
+    return d.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2"))).drop("_id", "_h2")
+
+
+def runs(docs: DataFrame, prefix: DataFrame, width: int = WIDTH, most_keys: int = PICKED_KEYS, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, _h, item_id, first, last: confirmed runs of words, numbered from 1. prefix: a written table."""
+    d = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    keys = [r["key"] for r in prefix.select("key").distinct().limit(most_keys + 1).collect()]
+    d = picked(d, keys) if len(keys) <= most_keys else joined(d, prefix)
     low = lambda i: F.greatest(F.lit(1), i - (width - 1))
-    around = F.transform(at, lambda i: F.struct(i.alias("p"), F.get("_w", i - 1).alias("x"), F.reverse(F.slice("_w", low(i), i - low(i))).alias("l"), F.slice("_w", i + 1, width - 1).alias("r")))
-    d = d.where(F.size("_w") > 0).select("doc_id", "_h", F.size("_w").alias("_n"), F.explode(around).alias("_c")).select("doc_id", "_h", "_n", "_c.*", F.lower("_c.x").alias("key"))
-    # length and positional bounds, and the nearest word on one side
-    same = lambda ours, theirs: (F.lower(F.get(ours, F.lit(0))) == F.lower(F.get(theirs, F.lit(0))))
-    fits = (F.col("_n") >= F.col("need")) & ((F.col("need") == 1) | F.coalesce(same("l", "left"), F.lit(False)) | F.coalesce(same("r", "right"), F.lit(False)))
-    p = prefix.withColumnRenamed("key", "_key")
-    found = d.join(F.broadcast(p), (F.col("key") == F.col("_key")) & fits).where(F.translate("x", UPPER, LOWER) == F.col("word"))
+    around = F.transform("_at", lambda i: F.struct(i.alias("p"), F.get("_w", i - 1).alias("x"), F.reverse(F.slice("_w", low(i), i - low(i))).alias("l"), F.slice("_w", i + 1, width - 1).alias("r")))
+    d = d.select("doc_id", "_h", F.size("_w").alias("_n"), F.explode(around).alias("_c")).select("doc_id", "_h", "_n", "_c.*")
+    d = d.withColumn("_x", F.lower("x")).withColumn("_next", F.lower(F.get("r", F.lit(0))))
+    d = d.withColumn("_key", F.explode(F.array_distinct(F.array(F.concat_ws(" ", "_x", "_next"), "_x"))))
+    # length and positional bounds: a window of so many words fits in the text with this word at its place
+    fits = (F.col("_n") >= F.col("need")) & (F.size("l") + F.size("r") + 1 >= F.col("need"))
+    p = F.broadcast(prefix) if prefix.count() <= most_rows else prefix
+    found = d.join(p, (F.col("_key") == F.col("key")) & fits).where(F.translate("x", UPPER, LOWER) == F.col("word"))
     found = found.select("doc_id", "_h", "item_id", "p", "need", _agree(F.col("left"), lowered(F.col("l"))).alias("_l"), _agree(F.col("right"), lowered(F.col("r"))).alias("_r"))
     return found.where(F.col("_l") + F.col("_r") + 1 >= F.col("need")).select("doc_id", "_h", "item_id", (F.col("p") - F.col("_l")).alias("first"), (F.col("p") + F.col("_r")).alias("last"))
 
@@ -92,29 +129,24 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_keys: int = BLOCK_KEYS) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, most_keys: int = PICKED_KEYS, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, _h, spans (sorted, of hit words), item_ids (sorted as strings): documents with a window only."""
     prefix = cut(prefixes(docs, items, width), "prefixes")
-    blocks = -(-prefix.select("key").distinct().count() // block_keys) or 1
-    number = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    parts = []
-    for b in range(blocks):
-        own = prefix.where(number == b)
-        parts.append(runs(docs, own, [r["key"] for r in own.select("key").distinct().collect()], width))
-    found = reduce(DataFrame.unionAll, parts)
+    found = runs(docs, prefix, width, most_keys, most_rows)
     return found.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a window; their columns stay as they are."""
-    h = hits(docs, items).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_t"))
-    return docs.join(h, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    i, t = private(docs, stem="_id"), private(docs, stem="_text")
+    h = hits(docs, items).select(F.col("doc_id").alias(i), F.col("_h").alias(t))
+    return docs.join(h, F.col("doc_id").eqNullSafe(F.col(i)) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(t)), "left_anti")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The columns of op2."""
     h = hits(docs, items).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_t"), "spans", "item_ids")
-    every = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    every = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     return every.join(h, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
