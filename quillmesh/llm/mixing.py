@@ -8,17 +8,22 @@ every shard finds its counts, and its first slot number in each source, on its o
 takes block p(i mod B) in pass i div B, where p is a keyed Feistel permutation of that source and pass. Slots join
 blocks by (source, block).
 
+Documents are placed by a hash of doc_id and text; equal rows (of one doc_id, source and text) are placed together, one
+after another. Offsets are summed within ranges of the hash, whose number follows the number of rows, so no task holds a
+source. A block's text keeps all characters of its documents: a piece goes from its first word up to the next piece's.
+
 No source is taken more than `most` times, so no block and no document is. Weights go by the rank of a source in
 code-point order, null last, repeating; what a source can't hold is shared by weight among the others.
 
 Null text: no words. Null source: a source of its own. Null doc_id: an id of its own. Repeated rows: each has its
-own place. Extra columns are not returned. Empty tables, or tables without words: sizes and takes of 0. Reruns agree.
+own place. Texts without words are in no block. Extra columns are not returned and may have any name. Empty tables, or tables without words: sizes and takes of 0. Reruns agree.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,9 +39,11 @@ MOST = 3
 BLOCK = 128
 #: Slots in an output shard.
 SHARD_SLOTS = 4096
-#: Ranges of the hash order of a source in which offsets are summed apart.
-RANGES = 256
-WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Rows that a range of the hash order should hold when all rows are of one source.
+RANGE_ROWS = 50_000
+#: What follows each document's text in a block.
+BETWEEN = "\n"
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
 
 def with_size(docs: DataFrame, text: str = "text", out: str = "size") -> DataFrame:
@@ -90,14 +97,7 @@ def shard_counts(totals: np.ndarray, shard: int, slots: int, seed: int) -> tuple
     lo, hi, before, counts = 0, -(-int(totals.sum()) // slots), np.zeros_like(totals), totals.copy()
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        draw = np.random.default_rng([seed, lo, hi])
-        n = (mid - lo) * slots
-        # marginals of a draw without replacement, source by source: exact for any total
-        left, rest, need = np.zeros_like(counts), int(counts.sum()), n
-        for s, c in enumerate(counts):
-            rest -= int(c)
-            left[s] = _hypergeometric(draw, int(c), rest, need)
-            need -= int(left[s])
+        left = np.array(_left_half(tuple(map(int, counts)), lo, hi, slots, seed), np.int64)
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -105,30 +105,53 @@ def shard_counts(totals: np.ndarray, shard: int, slots: int, seed: int) -> tuple
     return counts, before
 
 
+@lru_cache(4096)
+def _left_half(counts: tuple[int, ...], lo: int, hi: int, slots: int, seed: int) -> tuple[int, ...]:
+    """Of the counts of shards lo .. hi - 1, those of the left half: a draw without replacement, source by source."""
+    draw = np.random.default_rng([seed, lo, hi])
+    rest, need, left = sum(counts), ((lo + hi) // 2 - lo) * slots, []
+    for c in counts:
+        rest -= c
+        left.append(_hypergeometric(draw, c, rest, need))
+        need -= left[-1]
+    return tuple(left)
+
+
 def _hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Of n drawn from good + bad, the good ones; by the normal law where numpy's draw has no more range."""
+    """Of n drawn from good + bad, the good ones.
+
+    numpy draws from fewer than 10^9; beyond, the distribution function is inverted over twelve standard deviations on
+    either side of the mode, outside of which lies less than 10^-30 of it.
+    """
     if n == 0 or good == 0:
         return 0
-    if good + bad < 10**9:
-        return int(draw.hypergeometric(good, bad, n))
     total = good + bad
-    mean, sd = n * good / total, (n * good / total * bad / total * (total - n) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(draw.normal(mean, sd)), n - bad, 0), good, n))
+    if total < 10**9:
+        return int(draw.hypergeometric(good, bad, n))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 20 + int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
+    first, last = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    log_p = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1)))])
+    up_to = np.cumsum(np.exp(log_p - log_p.max()))
+    return first + int(np.searchsorted(up_to, draw.random() * up_to[-1]))
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, offset within its source's stream; source, source_size).
-
-    Offsets are sums within ranges of the hash order, plus the sums of the ranges before: no task holds a source.
-    """
-    sized = with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("doc_id").alias("_o"), F.xxhash64("text").alias("_t"))
-    sized = cut(sized.withColumn("_range", F.shiftrightunsigned("_o", 64 - RANGES.bit_length() + 1)), "sizes")
+    """(doc_id, source, size, offset within its source's stream, _t; source, source_size), a row for each document."""
+    sized = with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.xxhash64("text").alias("_t"))
+    sized = cut(sized, "sizes")
+    bits = max(8, math.ceil(math.log2(max(1, sized.count() / RANGE_ROWS))))
+    group = sized.groupBy("source", "doc_id", "_t", "size").agg(F.count(F.lit(1)).alias("_copies")).withColumn("_o", F.xxhash64("doc_id", "_t"))
+    group = cut(group.withColumn("_range", F.shiftrightunsigned("_o", 64 - bits)).withColumn("_all", F.col("size") * F.col("_copies")), "groups")
     within = W.partitionBy("source", "_range").orderBy("_o", "doc_id", "_t", "size").rowsBetween(W.unboundedPreceding, 0)
-    of_range = sized.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
+    of_range = group.groupBy("source", "_range").agg(F.sum("_all").alias("_n"))
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     of_range = of_range.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    at = sized.withColumn("_sum", F.sum("size").over(within)).join(of_range, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    return at.select("doc_id", "source", "size", (F.col("_before") + F.col("_sum") - F.col("size")).alias("offset"), "_t"), sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    at = group.withColumn("_sum", F.sum("_all").over(within)).join(of_range, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    first = F.col("_before") + F.col("_sum") - F.col("_all")
+    at = at.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    return at.select("doc_id", "source", "size", (first + F.col("_i") * F.col("size")).alias("offset"), "_t"), sized.groupBy("source").agg(F.sum("size").alias("source_size"))
 
 
 def plan(source_sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> list[dict]:
@@ -181,19 +204,20 @@ def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     sources = F.broadcast(source_table(spark, planned))
     at = at.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     uses = slots(spark, planned, shard_slots).groupBy("_n", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
-    at = at.withColumn("_row", F.struct("offset", "_t"))
-    pieces = at.where("size > 0").select("_n", "doc_id", "_row", "size", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
+    pieces = at.where("size > 0").select("_n", "size", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
     overlap = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("offset", F.col("block") * block)
-    of_doc = pieces.join(uses, ["_n", "block"]).groupBy("_n", "_row", "doc_id").agg(F.sum(overlap * F.col("uses")).alias("_taken"))
-    of_doc = of_doc.select(F.col("_n").alias("_n2"), F.col("_row").alias("_row2"), F.col("doc_id").alias("_id2"), "_taken")
-    on = (F.col("_n") == F.col("_n2")) & (F.col("_row") == F.col("_row2")) & F.col("doc_id").eqNullSafe(F.col("_id2")) & (F.col("size") > 0)
+    # texts with words have offsets of their own within a source
+    of_doc = pieces.join(uses, ["_n", "block"]).groupBy("_n", "offset").agg(F.sum(overlap * F.col("uses")).alias("_taken"))
+    of_doc = of_doc.select(F.col("_n").alias("_n2"), F.col("offset").alias("_offset2"), "_taken")
+    on = (F.col("_n") == F.col("_n2")) & (F.col("offset") == F.col("_offset2")) & (F.col("size") > 0)
     return at.join(of_doc, on, "left").select("doc_id", F.col("size").cast("long"), "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix itself: shard, slot, source, block, n_words, doc_ids (of the texts in the block, in order), text.
 
-    A text's blank runs become single blanks. Blocks are as long as `block` words but for the last of each source.
+    Blocks are as long as `block` words but for the last of each source. Laid end to end, a source's blocks give its
+    documents' texts, each followed by BETWEEN.
     """
     at, per_source = placed(docs)
     spark = docs.sparkSession
@@ -210,19 +234,23 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
             for at in range(0, len(batch), 500):
                 rows = []
                 for n, doc, offset, text in batch.iloc[at : at + 500].itertuples(index=False):
-                    words = [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
-                    done = 0
-                    while done < len(words):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    inside = ~_BLANK[np.frombuffer(raw, np.uint8)]
+                    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+                    done, begin = 0, 0
+                    while done < len(starts):
                         b = (offset + done) // block
-                        k = min(len(words) - done, (b + 1) * block - offset - done)
-                        rows.append((n, b, offset + done, doc, k, " ".join(words[done : done + k])))
-                        done += k
+                        k = min(len(starts) - done, (b + 1) * block - offset - done)
+                        last = done + k == len(starts)
+                        end = len(raw) if last else int(starts[done + k])
+                        rows.append((n, b, offset + done, doc, k, raw[begin:end].decode("utf-8", "surrogatepass") + BETWEEN * last))
+                        done, begin = done + k, end
                 yield pd.DataFrame(rows, columns=["_n", "block", "_o", "doc_id", "_k", "text"])
 
     pieces = full.mapInPandas(split, "_n int, block long, _o long, doc_id long, _k long, text string")
     blocks = pieces.groupBy("_n", "block").agg(F.sort_array(F.collect_list(F.struct("_o", "doc_id", "_k", "text"))).alias("_p"))
     p = F.col("_p")
-    blocks = blocks.select("_n", "block", F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["_k"]).alias("n_words"), F.transform(p, lambda x: x["doc_id"]).alias("doc_ids"), F.array_join(F.transform(p, lambda x: x["text"]), " ").alias("text"))
+    blocks = blocks.select("_n", "block", F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["_k"]).alias("n_words"), F.transform(p, lambda x: x["doc_id"]).alias("doc_ids"), F.array_join(F.transform(p, lambda x: x["text"]), "").alias("text"))
     got = slots(spark, planned, shard_slots).join(blocks, ["_n", "block"]).join(sources, "_n")
     return got.select("shard", "slot", F.col("_source").alias("source"), "block", "n_words", "doc_ids", "text")
 
