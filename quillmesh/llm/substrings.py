@@ -2,15 +2,16 @@
 
 Units: a line of at most `line_chars` characters is one unit; a longer line is split after . ! or ? and a blank (a long
 sentence after , ; or :, too), so a passage that was pasted into the middle of a line still yields whole units. A unit is normalised to its lower-case
-words, without ASCII signs. Digests are grouped over all documents; the occurrence of least (doc_id, unit number) stays and the others
+words, without ASCII signs. Digests of 128 bits are grouped over all documents; the occurrence of least (doc_id, unit number) stays and the others
 go. The words just before and just after a removed unit go too, up to the first that differs from the words beside
 the kept occurrence, however many they are, which restores the ends of a passage whose first or last sentence runs on
 into other text. Words themselves are compared, not hashes. Offsets are code points of the original text, end exclusive.
 
 A key that occurs in a third of all rows is grouped by (key, salt) and never meets in one task. Units of fewer than
 `min_words` words (sentences of long lines: `min_sentence`) are left alone. Null text: no units, stays null. Empty
-text: no units. Rows with one doc_id and one text rank equally, so repeated rows keep equal results; a null doc_id
-ranks last. Extra columns are not returned. An empty table gives an empty table.
+text: no units. Rows with one doc_id and one text rank equally, so repeated rows keep equal results. Rows with a null
+doc_id rank last and are documents of their own: of equal ones, one keeps its text if no document with an id has it.
+Extra columns, whatever their names, are not returned. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def units(text: str, line_chars: int = LINE_CHARS, min_words: int = MIN_WORDS, m
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """digest, _id, _h (of the text), idx: a row for each eligible unit."""
+    """d1, d2 (a digest of 128 bits), _id, _h, idx: a row for each eligible unit."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -74,14 +75,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 for doc, h, text in batch.iloc[at : at + 500].itertuples(index=False):
                     for idx, (_, _, words, eligible) in enumerate(units(text or "")):
                         if eligible:
-                            digest.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                            digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                             ids.append(doc)
                             hs.append(h)
                             idxs.append(idx)
                 if digest:
-                    yield pd.DataFrame({"digest": np.array(digest, np.uint64).astype(np.int64), "_id": ids, "_h": hs, "idx": np.array(idxs, np.int32)})
+                    d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                    yield pd.DataFrame({"d1": d[:, 0], "d2": d[:, 1], "_id": ids, "_h": hs, "idx": np.array(idxs, np.int32)})
 
-    return docs.select("_id", "_h", "text").mapInPandas(scan, "digest long, _id long, _h long, idx int")
+    return docs.select("_id", "_h", "text").mapInPandas(scan, "d1 long, d2 long, _id long, _h long, idx int")
 
 
 def stretches(docs: DataFrame, asked: DataFrame, at: int, size: int) -> DataFrame:
@@ -139,9 +141,9 @@ def later_occurrences(docs: DataFrame, salts: int) -> DataFrame:
     rows; the occurrences then meet them over (digest, salt).
     """
     occ = written(occurrences(docs), "occurrences").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    first = occ.groupBy("digest").agg(F.min(F.struct("_id", "_h", "idx")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = written(first.where("_n > 1").select("digest", F.col("_first._id").alias("_kid"), F.col("_first._h").alias("_kh"), F.col("_first.idx").alias("_kidx")), "first")
-    found = occ.join(occ.select("digest", "_salt").distinct().join(first, "digest"), ["digest", "_salt"])
+    first = occ.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_h", "idx")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = written(first.where("_n > 1").select("d1", "d2", F.col("_first._id").alias("_kid"), F.col("_first._h").alias("_kh"), F.col("_first.idx").alias("_kidx")), "first")
+    found = occ.join(occ.select("d1", "d2", "_salt").distinct().join(first, ["d1", "d2"]), ["d1", "d2", "_salt"])
     found = found.where((F.col("_id") != F.col("_kid")) | (F.col("_h") != F.col("_kh")) | (F.col("idx") != F.col("_kidx")))
     return written(found.select("_id", "_h", "idx", "_kid", "_kh", "_kidx").dropDuplicates(["_id", "_h", "idx"]), "later")
 
@@ -174,10 +176,23 @@ def edges(docs: DataFrame, later: DataFrame, salts: int) -> list[DataFrame]:
     return out
 
 
+def ranked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _id and _h, by which documents are ranked: doc_id, then a hash of the text.
+
+    Rows without a doc_id come last and are numbered, so each is a document of its own; they are written first, so that
+    they keep their numbers.
+    """
+    plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", "text")
+    if nameless.isEmpty():
+        return plain
+    return plain.union(written(nameless.select("doc_id", "text", F.lit(LAST).alias("_id"), F.monotonically_increasing_id().alias("_h")), "nameless"))
+
+
 def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """doc_id, text without later occurrences, n_removed, removed (array of start, end in the original text)."""
     salts = salts or max(64, partitions(docs.sparkSession))
-    own = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
+    own = ranked(docs)
     later = later_occurrences(own, salts)
     gone = reduce(DataFrame.union, edges(own, later, salts), later.select("_id", "_h", "idx", F.lit(0).alias("side"), F.lit(0).alias("n")))
     gone = gone.groupBy("_id", "_h").agg(F.collect_list(F.struct("idx", "side", "n")).alias("_gone"))

@@ -269,6 +269,60 @@ def test_repeats_of_odd_rows(make):
     got = collections.Counter((r["doc_id"], r["text"]) for r in substrings.digest(docs).collect())
     assert got == {(4, "the same line of words"): 2, (None, ""): 1, (6, "x\n" * 5): 1}
     assert substrings.digest(make()).count() == 0
+    nameless = make((None, "one line of some words"), (None, "one line of some words"), (None, None), (2**63 - 1, "one line of some words"))
+    assert sorted(str(r["text"]) for r in substrings.digest(nameless).collect()) == ["", "", "None", "one line of some words"]
+    assert sorted(r["text"] for r in substrings.digest(nameless.where("doc_id is null and text is not null")).collect()) == ["", "one line of some words"]
+
+
+def plain_units(text):
+    """Words of each unit with their places, by expressions of their own."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        parts = [line]
+        if len(line) > 80:
+            parts = [p for s in re.findall(r"(?:.*?[.!?][\"')\]]*\s+|.+$)", line) for p in (re.findall(r"(?:.*?[,;:]\s+|.+$)", s) if len(s) > 160 else [s])]
+        a = at
+        for p in parts:
+            found = [(m[0], a + m.start(), a + m.end()) for m in re.finditer("[0-9a-z\x80-\U0010ffff]+", p.lower())]
+            if found:
+                out.append((found, a, a + len(p), len(found) >= (5 if len(line) > 80 else 3)))
+            a += len(p)
+        at += len(line) + 1
+    return out
+
+
+def plain_dedup(rows):
+    """Texts without later occurrences and the words that equal those beside the first one: each unit by itself."""
+    all_units = {i: plain_units(t) for i, t in rows}
+    words = {i: [w for u in us for w in u[0]] for i, us in all_units.items()}
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        gone, n = [], 0
+        for k, (own, a, b, ok) in enumerate(all_units[i]):
+            at = sum(len(u[0]) for u in all_units[i][:k])
+            key = tuple(w for w, _, _ in own)
+            if not ok or first.setdefault(key, (i, at)) == (i, at):
+                continue
+            n += 1
+            j, other = first[key]
+            left, right = 0, 0
+            while min(at, other) - left > 0 and words[i][at - left - 1][0] == words[j][other - left - 1][0]:
+                left += 1
+            x, y = at + len(own), other + len(own)
+            while x + right < len(words[i]) and y + right < len(words[j]) and words[i][x + right][0] == words[j][y + right][0]:
+                right += 1
+            gone += [(a, b), *([(words[i][at - left][1], b)] if left else []), *([(a, words[i][x + right - 1][2])] if right else [])]
+        out[i] = ("".join(c for p, c in enumerate(t) if not any(a <= p < b for a, b in gone)), n)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_whole_result_equals_brute_force(make, seed):
+    r = random.Random(seed)
+    bits = [" ".join(words(r, r.randint(1, 14))) + r.choice([". ", "! ", ", ", "; ", " ", "\n", ".\n"]) for _ in range(14)]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 12)))) for i in range(40)]
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in substrings.digest(make(*rows)).collect()}
+    assert got == plain_dedup(rows)
 
 
 @pytest.mark.parametrize("n", [13, 16, 30, 200])
