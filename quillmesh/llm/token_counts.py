@@ -5,7 +5,8 @@ Every whole text is encoded with a public tokenizer file (its path is a paramete
 each length that occurs, so its size depends on the longest text and not on the number of documents. Suffix sums
 are taken in two levels - within blocks of lengths, then over block totals - so no task sorts the histogram.
 
-Null or empty text: length 0. Repeated rows count each time. An empty table gives an empty histogram.
+Null or empty text: length 0. Repeated rows count each time. Extra columns pass through with_length, whatever their names;
+a column named as its output is replaced. An empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import cut
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of that vocabulary (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -54,7 +57,7 @@ def histogram(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> Dat
 
 
 def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
-    """hist with, for each length L: docs and tokens of at least L, and the tokens left if texts are cut to L.
+    """hist, which is read twice and so is best a written table, with, for each length L: docs and tokens of at least L, and the tokens left if texts are cut to L.
 
     total_docs and total_tokens repeat the totals, so a row alone answers shares and quantiles.
     """
@@ -90,4 +93,4 @@ def quantile(sums: DataFrame, share: float) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return suffix_sums(histogram(docs))
+    return suffix_sums(cut(histogram(docs.select("text")), "histogram"))
