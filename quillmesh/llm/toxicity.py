@@ -7,8 +7,8 @@ for their rarity keep their r, and logistic regression is fitted on x * r. Scori
 
 Null or empty text: the score of a text without features, from the intercept alone. Labels: several rows of one
 doc_id count once with their greatest label; null labels and labels without a document are left out. Without
-rows of both classes the score is 0 everywhere. Extra columns pass through; a column named as the output is
-replaced. Repeated rows each get the same score. An empty table gives an empty table.
+rows of both classes the score is 0 everywhere. Extra columns pass through, whatever their names; a column named as
+the output of score() is replaced. Repeated rows each get the same score. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import remainder
+from quillmesh.llm.common import private, remainder
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -29,13 +29,18 @@ BITS = 20
 MAX_ROWS = 3000
 N_FEATURES = 10_000
 THRESHOLD = 0.7
-#: Characters hashed at a time; n-grams across the seam are kept by an overlap.
+#: N-grams of each order hashed at a time.
 BLOCK = 1 << 18
 
 
-def hashes(text: str) -> np.ndarray:
+def codes(text: str) -> np.ndarray:
+    """Code points of the text in lower case, between two line breaks."""
+    return np.frombuffer(f"\n{text.lower()}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def hashes(c: np.ndarray) -> np.ndarray:
     """Hash numbers of every n-gram of every order, with repeats."""
-    c = np.frombuffer(f"\n{text.lower()}\n".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    c = c.astype(np.uint64)
     out, h = [], c
     mult, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
     for n in range(2, max(ORDERS) + 1):
@@ -49,15 +54,18 @@ def hashes(text: str) -> np.ndarray:
 
 
 class Distinct:
-    """Distinct hash numbers of one text in linear time: of the writes to a slot, the last one is kept."""
+    """Distinct hash numbers of one text in linear time: of the writes to a slot, the last one is kept.
+
+    A long text is hashed in blocks that overlap by an n-gram less one character, so it has the n-grams of the whole.
+    """
 
     def __init__(self) -> None:
         self.last = np.zeros(1 << BITS, np.int32)
 
     def __call__(self, text: str) -> np.ndarray:
-        seen: list[np.ndarray] = []
-        for at in range(0, max(1, len(text)), BLOCK):
-            h = hashes(text[at : at + BLOCK + max(ORDERS)])
+        seen, c = [], codes(text)
+        for at in range(0, max(1, len(c) - min(ORDERS) + 1), BLOCK):
+            h = hashes(c[at : at + BLOCK + max(ORDERS) - 1])
             order = np.arange(len(h), dtype=np.int32)
             self.last[h] = order
             seen.append(h[self.last[h] == order])
@@ -115,15 +123,17 @@ def fit_rows(texts: list[str], labels: list[int], n_features: int = N_FEATURES,
 def sample(docs: DataFrame, labels: DataFrame, label: str, keep, max_rows: int) -> list:
     """At most max_rows rows of each class, first by a hash of doc_id: (text, label). keep: condition on doc_id.
 
-    The labels are drawn before their texts are read; an id that has no document is not replaced.
+    The labels are drawn before their texts are read; an id that has no document is not replaced. Of several rows with
+    one doc_id the least text counts, so repeats don't enlarge the sample.
     """
     y = labels.where(F.col(label).isin(0, 1) & keep).groupBy("doc_id").agg(F.max(label).alias("y"))
     ids = [r for k in (0, 1) for r in y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()]
     if not ids:
         return []
     few = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["y"])) for r in ids], "_id long, _y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    rows = drawn.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.min("_y").alias("_y")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [(r["text"], r["_y"]) for r in rows]
 
 
@@ -150,7 +160,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs without those that score at the threshold or above; their columns stay as they are."""
     model = fit(docs, labels, keep=remainder("doc_id", 3) != 1, max_rows=max_rows)
-    return score(docs, model, out="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    own = private(docs)
+    return score(docs, model, out=own).where(F.col(own) < threshold).drop(own)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

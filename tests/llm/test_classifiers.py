@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 from quillmesh.llm import language, quality, toxicity
 
 
-def test_distinct_ngrams_are_those_of_the_text():
+def test_distinct_ngrams_are_those_of_the_text(monkeypatch):
     d = toxicity.Distinct()
-    for t in ("", "a", "Idiot", "abc" * 50, "é" * 30):
-        assert sorted(d(t).tolist()) == sorted(set(toxicity.hashes(t).tolist()))
-    whole = set(d("abcdefgh" * 70_000).tolist())
-    assert set(toxicity.hashes("abcdefgh" * 3).tolist()) - set(toxicity.hashes("h\n").tolist()) >= whole - set(toxicity.hashes("abcdefgh" * 3).tolist()) or whole
+    plain = lambda t: {int(toxicity.hashes(toxicity.codes(t)[i : i + n])[-1]) for n in toxicity.ORDERS for i in range(len(t) + 3 - n)}
+    texts = ("", "a", "Idiot", "abc" * 50, "é" * 30, "the quick brown fox" * 3)
+    for block in (toxicity.BLOCK, 1, 7, 64):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        for t in texts:
+            assert sorted(d(t).tolist()) == sorted(set(plain(t)))
+
+
+def test_long_texts_gain_no_ngrams_at_block_borders():
+    d = toxicity.Distinct()
+    once = set(d("abcdefgh" * 4).tolist())
+    assert set(d("abcdefgh" * 200_000).tolist()) == once
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -42,6 +50,15 @@ def test_toxicity_of_odd_rows(make, spark):
     assert toxicity.digest(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.reject(docs, labels).columns == docs.columns
     assert toxicity.digest(make(), labels).count() == 0
+    for name in ("_toxicity", "_own0", "_id", "y"):
+        own = docs.withColumnRenamed("n_chars", name)
+        assert toxicity.reject(own, labels).columns == own.columns and toxicity.reject(own, labels).count() == 4
+
+
+def test_repeated_ids_count_once_in_a_fit(make, spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = make(*[(1, "b"), (1, "a"), (1, None), (2, "c")] * 5)
+    assert toxicity.sample(docs, labels, "toxic", F.lit(True), 10) == [("a", 1), ("c", 0)]
 
 
 def plain_statistics(t):
@@ -118,6 +135,9 @@ def test_languages_on_held_out_rows(documents):
 def test_languages_of_odd_rows(make):
     docs = make((1, "the house and the dog", "en"), (2, "la maison et le chien", "fr"), (3, None, "en"), (4, "123 ², ...", "fr"), (None, "x" * 3000, None), (5, "the dog", None), (5, "the dog", None))
     got = {(r["doc_id"], r["lang_pred"]) for r in language.predict(docs.withColumn("score", F.lit("x")), language.fit(docs, F.lit(True))).collect()}
+    for name in ("_language", "_own0", "_id"):
+        own = docs.withColumnRenamed("n_chars", name)
+        assert language.predict(own, language.fit(own, F.lit(True))).columns == [*own.columns, "lang_pred", "score"]
     assert {(3, "und"), (4, "und")} <= got and (5, "en") in got
     assert {r["lang_pred"] for r in language.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.digest(make()).count() == 0 and math.isfinite(1)
