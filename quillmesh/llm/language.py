@@ -7,8 +7,8 @@ hash of doc_id: the documented bound of the sample). Texts are scored whole: the
 scored together, by length, in numpy.
 
 Null text, or one without a letter: 'und' with score 0. Training rows with null lang or null text are left out; with
-no training rows every text is 'und'. Ties go to the first language by code point. Extra columns pass through; columns
-named as the outputs are replaced. Repeated rows each get the same result. An empty table stays empty.
+no training rows every text is 'und'. Ties go to the first language by code point. Extra columns pass through, whatever
+their names; columns named as the outputs are replaced. Repeated rows each get the same result. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import remainder
+from quillmesh.llm.common import private, remainder
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-#: Characters in a piece, the start mark included; longer pieces of the vocabulary aren't used.
-LONGEST = 8
 #: The most documents of each language in a fit.
 MAX_ROWS = 300
 UNKNOWN = 1e-8
@@ -39,12 +37,12 @@ WORDS = 40_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(path: str = VOCABULARY, longest: int = LONGEST) -> list[str]:
-    """Lower-case pieces of letters, with or without the start mark."""
+def vocabulary(path: str = VOCABULARY) -> list[str]:
+    """All pieces that can be part of a word: of letters in lower case, with or without the start mark, of any length."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if len(p) <= longest and p.removeprefix(START).isalpha() and p == p.lower()}
+    pieces = {p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if p.removeprefix(START).isalpha() and p == p.lower()}
     return sorted(pieces | {START})
 
 
@@ -103,17 +101,18 @@ def forward(found: dict[tuple[int, int], np.ndarray], probs: np.ndarray, t: int)
     """Log of the sum over segmentations, for each word and language; scaled, so words may have any length."""
     none = len(probs) - 1
     n = len(next(iter(found.values())))
+    longest = max(k for _, k in found)
     alpha, scale = [np.ones((n, probs.shape[1]))], np.zeros(n)
     for j in range(1, t + 1):
         a = np.zeros((n, probs.shape[1]))
-        for length in range(1, min(LONGEST, j) + 1):
+        for length in range(1, min(longest, j) + 1):
             ids = found.get((j - length, length))
             if ids is not None:
                 p = probs[ids]
                 if length > 1:
                     p = p * (ids != none)[:, None]
                 a += alpha[-length] * p
-        alpha = [*alpha[-LONGEST:], a]
+        alpha = [*alpha[-longest:], a]
         if j % 16 == 0 or j == t:
             m = np.maximum(a.max(1), 1e-300)
             scale += np.log(m)
@@ -143,16 +142,17 @@ def fit_counts(words: dict[str, Counter], docs: dict[str, int], pieces: list[str
             count = np.zeros(none + 1)
             for w, found, t in groups:
                 n = len(w)
+                longest = max(k for _, k in found)
                 q = {k: np.where((ids != none) | (k[1] == 1), p[ids], 0) for k, ids in found.items()}
                 fore, back, norm = [np.ones(n)], {t: np.ones(n)}, []
                 for j in range(1, t + 1):
-                    a = sum(fore[j - length] / (np.prod(norm[j - length :], axis=0) if j - length < len(norm) else 1.0) * q[j - length, length] for length in range(1, min(LONGEST, j) + 1) if (j - length, length) in q)
+                    a = sum(fore[j - length] / (np.prod(norm[j - length :], axis=0) if j - length < len(norm) else 1.0) * q[j - length, length] for length in range(1, min(longest, j) + 1) if (j - length, length) in q)
                     m = np.maximum(a, 1e-300)
                     fore.append(a / m)
                     norm.append(m)
                 for i in range(t - 1, -1, -1):
                     b = np.zeros(n)
-                    for length in range(1, min(LONGEST, t - i) + 1):
+                    for length in range(1, min(longest, t - i) + 1):
                         if (i, length) in q:
                             over = np.prod(norm[i : i + length], axis=0)
                             share = q[i, length] / over * back[i + length]
@@ -182,7 +182,9 @@ def fit(docs: DataFrame, keep: Column, max_rows: int = MAX_ROWS, path: str = VOC
     drawn = rows.where(share).select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")).alias("_r")).where(F.col("_r") <= max_rows)
     ids = [(r["doc_id"], r["lang"]) for r in drawn.select("doc_id", "lang").collect()]
     few = docs.sparkSession.createDataFrame(ids, "_id long, _lang string").distinct()
-    texts = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text").toLocalIterator()
+    # of several rows with one doc_id and lang the least text counts, so repeats don't enlarge the sample
+    drawn = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    texts = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text").toLocalIterator()
     words: dict[str, Counter] = {x: Counter() for x in n_docs}
     for r in texts:
         words[r["lang"]].update(WORD.findall(r["text"].lower()))
@@ -226,7 +228,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str
 
     scan.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     got = F.pandas_udf(scan, "struct<lang:string,score:double>")(F.col(text))
-    return docs.withColumn("_language", got).withColumn(lang, F.col("_language.lang")).withColumn(score, F.col("_language.score")).drop("_language")
+    own = private(docs)
+    return docs.withColumn(own, got).withColumns({lang: F.col(own)["lang"], score: F.col(own)["score"]}).drop(own)
 
 
 def digest(docs: DataFrame) -> DataFrame:
