@@ -187,7 +187,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "spans", model: crf.Crf
             for x, more in zip(texts, tagged_spans(texts, tagger), strict=True):
                 found = base_spans(x)
                 taken = [(s, e) for _, s, e in found]
-                rows.append(spans.ordered([(k, s, e, "base") for k, s, e in found] + [(k, s, e, "crf") for k, s, e in more if spans.free(s, e, taken)], KINDS))
+                rows.append(spans.ordered([(k, s, e, "base") for k, s, e in found] + [(*x, "crf") for x in spans.free(more, taken)], KINDS))
             yield pd.Series(rows, index=batch.index, dtype=object)
 
     scan.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -28,8 +28,17 @@ def ordered(found: list[tuple[str, int, int, str]], kinds: list[str]) -> list[di
     return [{"kind": k, "start": s, "end": e, "origin": o} for k, s, e, o in sorted(found, key=lambda x: (x[1], rank[x[0]], x[2]))]
 
 
-def free(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
-    return all(end <= a or b <= start for a, b in taken)
+def free(found: list[tuple], taken: list[tuple[int, int]]) -> list[tuple]:
+    """Those of found (..., start, end) that overlap none of taken: one walk along both in order."""
+    out, high, k = [], 0, 0
+    taken = sorted(taken)
+    for x in sorted(found, key=lambda x: x[-2]):
+        while k < len(taken) and taken[k][0] < x[-1]:
+            high = max(high, taken[k][1])
+            k += 1
+        if high <= x[-2]:
+            out.append(x)
+    return out
 
 
 def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:

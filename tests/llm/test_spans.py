@@ -62,6 +62,45 @@ def test_fields_find_what_patterns_miss():
     assert secrets.tagged_spans(["only 12 words in 1999, see https://a.com/b/123 and a_b"], tagger) == [[]]
 
 
+def test_letters_after_a_cue_are_decoded():
+    tagger = crf.Tagger(secrets.fit(), secrets.features)
+    cut = lambda t: [t[s:e] for s, e in secrets.tagged_spans([t], tagger)[0]]
+    assert cut("my password AbcdEfghKlMn is here") == ["AbcdEfghKlMn"] and cut("authorization bearer kQwErTzUiOpAsDf now") == ["kQwErTzUiOpAsDf"]
+    for plain in ("the secret gardens of the town", "a token gesture towards Reconciliation", "the key elements are", "password protected files", "The Secret Garden opened in JavaScript and iPhone"):
+        assert cut(plain) == [], plain
+
+
+def test_fields_are_accurate_on_rows_they_have_not_seen():
+    """Spans of a labelled table of another seed: found and not found, token by token."""
+    for operator in (pii, secrets):
+        tagger = crf.Tagger(operator.fit(), operator.features)
+        right = wrong = missed = 0
+        for row in operator.labelled_table(300, 99):
+            zero = tagger.model.document(row[2] if len(row) > 2 else [])
+            got = tagger.decode([(None, row[0], None, zero)])[0]
+            right += sum(a == b != "O" for a, b in zip(got, row[1], strict=True))
+            wrong += sum(a != b and a != "O" for a, b in zip(got, row[1], strict=True))
+            missed += sum(a != b and b != "O" for a, b in zip(got, row[1], strict=True))
+        assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9, (operator.__name__, right, wrong, missed)
+
+
+def test_free_spans_by_trying_all():
+    import random
+
+    r = random.Random(2)
+    for _ in range(200):
+        found, taken = ([(a := r.randint(0, 40), a + r.randint(1, 5)) for _ in range(r.randint(0, 6))] for _ in "ab")
+        want = [x for x in sorted(found, key=lambda x: x[0]) if all(x[1] <= a or b <= x[0] for a, b in taken)]
+        assert spans.free(found, taken) == want
+
+
+def test_very_long_texts_through_the_fields(make):
+    t = ("word 12 " * 40_000) + "call (487) 555-7209 now, key ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"
+    for operator in (pii, secrets):
+        got = operator.find(make((1, t), (1, t))).collect()
+        assert len(got) == 2 and got[0]["spans"] == got[1]["spans"] and got[0]["spans"]
+
+
 def test_viterbi_equals_trying_all_paths():
     import itertools
 
