@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Ru
     if not ids:
         return []
     few = docs.sparkSession.createDataFrame(ids, "_id long, _y int")
-    drawn = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
+    # of several rows with one doc_id the least text counts, so repeats don't enlarge the sample
+    drawn = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y"))
     rows = with_statistics(drawn).select("doc_id", "_y", *(ratio(F.col("stats"), k).alias(k) for k in RATIOS)).collect()
     rows.sort(key=lambda r: tuple(r))
     return learn(np.array([list(r)[2:] for r in rows], float).reshape(len(rows), len(RATIOS)), np.array([r["_y"] == 0 for r in rows], bool))
