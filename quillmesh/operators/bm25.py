@@ -18,16 +18,45 @@ def tokens(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def index(rows: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
-    """rows (row_id, text) -> postings (term, row_id, tf, df), lengths (row_id, len: words of the vocabulary, n, avgdl)."""
-    tf = rows.select("row_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    postings = tf.join(df, "term")
-    own = postings.groupBy("row_id").agg(F.sum("tf").alias("len"))
+def counted(rows: DataFrame) -> DataFrame:
+    """rows (row_id, text) -> row_id, term, tf. A row's tokens are sorted and counted in runs, without a shuffle."""
+
+    def runs(t):
+        start = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+        end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(t) + 1)
+        return F.get(F.transform(F.array(start), lambda s: F.transform(s, lambda x, k: F.struct(F.get(t, x - 1).alias("term"), (end(s, k) - x).cast("long").alias("tf")))), F.lit(0))
+
+    # the tokens are bound to a variable, so that they are found once
+    own = F.filter(F.array(F.sort_array(tokens(F.col("text")))), lambda t: F.size(t) > 0)
+    return rows.select("row_id", F.explode(F.flatten(F.transform(own, runs))).alias("_t")).select("row_id", "_t.*")
+
+
+#: The most distinct terms of queries that are broadcast.
+BROADCAST_TERMS = 200_000
+
+
+def index(rows: DataFrame, min_df: int = MIN_DF, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (row_id, text) -> postings (term, row_id, tf, df), lengths (row_id, len: words of the vocabulary, n, avgdl).
+
+    Of given queries (qid, text), only the terms' postings are kept: they meet the rows before any shuffle.
+    """
+    tf = counted(rows)
+    per = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("row_id").alias("row_id"), F.min("tf").alias("tf"))
+    if min_df == 2:  # a term outside the vocabulary has one row, which its group knows
+        rare = per.where("df = 1").groupBy("row_id").agg(F.sum("tf").alias("_rare"))
+    else:
+        rare = tf.join(per.where(F.col("df") < min_df).select("term"), "term", "left_semi").groupBy("row_id").agg(F.sum("tf").alias("_rare"))
+    size = rows.select("row_id", F.size(tokens(F.col("text"))).cast("long").alias("_all"))
+    own = size.join(rare, "row_id", "left").select("row_id", (F.col("_all") - F.coalesce("_rare", F.lit(0))).alias("len")).where("len > 0")
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     total = own.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     corpus = n.join(total).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row each
-    return postings, own.join(F.broadcast(corpus))
+    df = per.where(F.col("df") >= min_df).select("term", "df")
+    if queries is not None:
+        asked = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+        tf, df = tf.join(asked, "term", "left_semi"), df.join(asked, "term", "left_semi")
+    return tf.join(df, "term"), own.join(F.broadcast(corpus))
 
 
 def scores(queries: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:

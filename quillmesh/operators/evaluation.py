@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,17 +92,64 @@ def file_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\.(pdf|json|csv|xlsx|txt|png|jpe?g|pbf)$", ""), "[^a-z0-9]", "")
 
 
-def match_files(names: DataFrame, docs: DataFrame) -> DataFrame:
+def match_files(names: DataFrame, docs: DataFrame, size: int = 6) -> DataFrame:
     """names (name), docs (doc, file) -> name, doc: the first document whose key ends in, begins, or holds the other.
 
-    A comparison of every pair; the side of names is the small one and is broadcast.
+    A key that holds another has all runs of `size` of its characters: the pairs that are compared share the first run of
+    the shorter key. Keys shorter than that meet as themselves, over every run of their length.
     """
-    n = names.select("name", file_key(F.col("name")).alias("_n")).where("_n <> ''").distinct()
-    d = docs.select("doc", file_key(F.col("file")).alias("_d")).where("_d <> ''")
-    hit = d.join(F.broadcast(n), F.col("_d").contains(F.col("_n")) | F.col("_n").contains(F.col("_d")))
+    key = lambda x, c, out: x.select(c, file_key(F.col(x.columns[-1])).alias(out)).where(F.col(out) != "").distinct()
+    n, d = key(names.select("name", F.col("name").alias("_raw")), "name", "_n"), key(docs.select("doc", "file"), "doc", "_d")
+
+    def meeting(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        """Pairs whose inner key stands in the outer one, of all lengths up to size and beyond."""
+        k = F.least(F.length(i), F.lit(size))
+        short = inner.withColumn("_gram", F.substring(F.col(i), F.lit(1), k))
+        lengths = F.sequence(F.lit(1), F.least(F.lit(size), F.length(o)))
+        grams = F.flatten(F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(1), F.length(o) - m + 1), lambda p: F.substring(F.col(o), p, m))))
+        return outer.withColumn("_gram", F.explode(F.array_distinct(grams))).join(short, "_gram").where(F.col(o).contains(F.col(i)))
+
+    hit = meeting(n, "_n", d, "_d").select("name", "doc").unionAll(meeting(d, "_d", n, "_n").select("name", "doc"))
     return hit.groupBy("name").agg(F.min("doc").alias("doc"))
 
 
+def diagnose(systems: dict[str, DataFrame], known: DataFrame) -> DataFrame:
+    """The probe of every system (name -> qid, doc, rnk) on the same known items: a row for each."""
+    rows = [probe(results, known).select(F.lit(name).alias("system"), "*") for name, results in systems.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def sweep(dense: DataFrame, lexical: DataFrame, grid: DataFrame, known: DataFrame) -> DataFrame:
+    """Reciprocal rank fusion of two lists (qid, row_id, rnk) for every (weight, k0) of a small grid, probed on known items.
+
+    All settings are fused in one plan: the lists, short by nature, are joined with the grid.
+    """
+    both = dense.select("qid", "row_id", "rnk", F.lit(False).alias("_lexical")).unionAll(lexical.select("qid", "row_id", "rnk", F.lit(True)))
+    gain = F.when(F.col("_lexical"), F.col("weight")).otherwise(1.0) / (F.col("k0") + F.col("rnk"))
+    fused = both.join(F.broadcast(grid)).groupBy("weight", "k0", "qid", "row_id").agg(F.round(F.sum(gain), 9).alias("score"))
+    place = F.row_number().over(W.partitionBy("weight", "k0", "qid").orderBy(F.col("score").desc(), "row_id"))
+    at = fused.withColumn("rnk", place).join(known.select("qid", F.col("doc").alias("row_id")), ["qid", "row_id"]).groupBy("weight", "k0", "qid").agg(F.min("rnk").alias("at"))
+    every = known.select("qid").distinct().join(F.broadcast(grid)).join(at, ["weight", "k0", "qid"], "left")
+    return every.groupBy("weight", "k0").agg(F.avg((F.coalesce("at", F.lit(1 << 30)) <= 3).cast("double")).alias("recall_3"), F.avg(F.coalesce(1 / F.col("at"), F.lit(0.0))).alias("mrr"), F.count(F.lit(1)).alias("n"))
+
+
+def against_gold(results: DataFrame, fragments: DataFrame, gold: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row: F1 of documents, NDCG and fragment coverage, averaged over the questions that have a gold document.
+
+    results (qid, doc, rnk, rel), fragments (qid, rnk, text), gold (qid, doc), wanted (qid, fragment): coverage is the share
+    of a gold fragment's words that the returned fragments have.
+    """
+    texts = fragments.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rnk", "text"))), lambda x: x["text"]), " ").alias("_found"))
+    asked = gold.select("qid").distinct()
+    pairs = wanted.join(asked, "qid").join(texts, "qid", "left").select(F.col("qid").alias("id"), "fragment", F.coalesce("_found", F.lit("")).alias("_found"))
+    cover = token_recall(pairs, "fragment", "_found").select(F.col("id").alias("qid"), F.col("recall").alias("_c"))
+    f1 = f1_at(results, gold).select("qid", "f1")
+    gain = ndcg(results, gold.withColumn("rel", F.lit(1.0))).select("qid", "ndcg")
+    x = asked.join(f1, "qid", "left").join(gain, "qid", "left").join(cover.groupBy("qid").agg(F.avg("_c").alias("_c")), "qid", "left")
+    zero = lambda c: F.avg(F.coalesce(c, F.lit(0.0)))
+    return x.agg(F.count(F.lit(1)).alias("n"), zero("f1").alias("f1_3"), zero("ndcg").alias("ndcg_10"), zero("_c").alias("coverage"))
+
+
 def duplicate_rate(results: DataFrame, vectors: DataFrame, k: int = 3, threshold: float = 0.93) -> DataFrame:
     """qid, duplicate: whether two of the first k documents are above the threshold. vectors: doc, v."""
     x = results.where(F.col("rnk") <= k).select("qid", "doc").distinct().join(vectors.select("doc", "v"), "doc")

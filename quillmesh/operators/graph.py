@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.functions.languages import STOPWORDS
 from quillmesh.functions.text import comparison_key
+from quillmesh.operators.names import TABLE_NOISE
 
-# Sizes and weights, then the words that type a name.
+# Sizes and weights.
 MAX_NGRAM, MAX_ENTITIES, MAX_EVIDENCE, MAX_ROWS = 6, 12, 8, 400
 MIN_FREQUENCY, MIN_WEIGHT = 3, 2
 SEED_WEIGHT, NEIGHBOUR_WEIGHT, MAX_NEIGHBOURS, TOP_ROWS = 1.0, 0.35, 12, 200
 CO_OCCURS = "co_ocurre_con"
-SHORTEST, LONGEST = 3, 60
-CAPITAL = "[A-ZÁÉÍÓÚÝÑÜÀÂÃÄÊËÎÏÔÕÖÙÛÇ]"
-PROPER = CAPITAL + r"[\wÀ-ÿ’'\-]*"
-LINK = r"(?:de|del|de\s+la|de\s+los|de\s+las|da|do|das|dos|la|las|los|el|y|e|di|du|van|von)"
-ARTICLES = "el la los las un una unos unas o a os as um uma uns umas le les une des du"
-ORGANISATIONS = (
-    "ministerio ministério ejército exército fuerza força comando agencia agência instituto universidad universidade grupo frente bloque "
-    "comisión comissão consejo conselho federación federação organización organização secretaría corporación fundación fundação "
-    "observatorio observatório tribunal corte fiscalía policía polícia armada batallón brigada división empresa banco gobierno governo "
-    "congreso congresso senado cámara câmara alcaldía gobernación defensoría procuraduría contraloría partido movimiento movimento sindicato asociación associação red"
-)
-PERSON_TITLES = (
-    "presidente presidenta ministro ministra general coronel capitán teniente almirante alcalde alcaldesa gobernador gobernadora senador senadora "
-    "doctor doctora señor señora embajador embajadora director directora comandante secretario secretaria fiscal juez jueza papa rey reina diputado diputada "
-    "vicepresidente canciller procurador defensor obispo profesor profesora investigador investigadora analista periodista"
-)
-PLACE_CUES = (
-    "departamento de", "municipio de", "município de", "corregimiento de", "vereda de", "ciudad de", "cidade de", "región de", "região de",
-    "provincia de", "província de", "estado de", "estado do", "parque nacional", "resguardo de", "cuenca del", "cuenca de", "río", "rio",
-    "golfo de", "bahía de", "sierra de", "valle del", "valle de", "frontera con", "localidad de",
-)
-CALENDAR = (
-    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janeiro fevereiro março maio junho julho setembro outubro novembro dezembro "
-    "lunes martes miércoles jueves viernes sábado domingo segunda terça quarta quinta sexta"
-)
-LABELS = "fuente fonte tabla tabela gráfico figura cuadro nota notas anexo informe capítulo sección página resumen resumo introducción conclusión bibliografía referencias índice art inc núm pág fig cap vol"
-NOT_NAMES = frozenset(" ".join([*STOPWORDS.values(), ARTICLES, CALENDAR, LABELS]).split())
-TABLE_NOISE = r"^https?://|^\S+\s+[A-Z]{1,3}\.?\s*\||^\s*\||\|\s*$|^(?:[Cc]hapter|[Cc]ap[íi]tulo)\s+\d+\s*[:|]|\d+\(\d+\):\d+"
-
-_NAME = re.compile(rf"{PROPER}(?:\s+(?:{LINK}\s+)?{PROPER})*")
-_CUTS = re.compile(r"(?<=[.!?;:])\s+|\n+|\s*[•·▪◦‣]\s*")
-_NOISE = re.compile(TABLE_NOISE)
-
-
 def is_table_noise(name: Column) -> Column:
     return name.rlike(TABLE_NOISE)
 
@@ -83,52 +46,25 @@ def places_of_columns(table: DataFrame, columns: dict[str, str], country: str |
     return x.groupBy("name").agg(F.min_by("type", "prio").alias("type")).withColumn("prio", F.lit(1))
 
 
-def gazetteer_hits(rows: DataFrame, gaz: DataFrame, text: str = "text", max_ngram: int = MAX_NGRAM) -> DataFrame:
+def gazetteer_hits(rows: DataFrame, gaz: DataFrame, text: str = "text", max_ngram: int = MAX_NGRAM, most_starts: int = 20_000) -> DataFrame:
     """rows (row_id, text) -> row_id, canonical, type: aliases in the text, the longest at each start, inner starts too.
 
-    Only a text's words that begin an alias are looked at further: words join the aliases' first words, and the
-    alias is then compared with the words that follow.
+    A place of a text takes along the words that an alias can have, not the text. While the first words of aliases are few
+    (their number is counted), other places never leave the scan; more of them are told apart by the join.
     """
     g = gaz.withColumn("_gw", F.split("key", " ")).where(F.size("_gw") <= max_ngram).select("key", "canonical", "type", F.get("_gw", F.lit(0)).alias("_first"), F.size("_gw").alias("_n"))
+    starts = [r["_first"] for r in g.select("_first").distinct().limit(most_starts + 1).collect()]
     x = rows.select("row_id", F.split(comparison_key(text), " ").alias("_w"))
-    x = x.select("row_id", "_w", F.posexplode("_w").alias("_p", "_first"))
-    found = x.join(g, "_first").where(F.array_join(F.expr("slice(_w, _p + 1, _n)"), " ") == F.col("key"))
+    # keys are made of a-z, 0-9 and blanks, so nothing needs to be escaped
+    test = f"_w[i] IN ({', '.join(repr(w) for w in sorted(starts))})" if starts else "false"
+    at = F.expr(f"filter(sequence(0, size(_w) - 1), i -> {test})") if len(starts) <= most_starts else F.expr("sequence(0, size(_w) - 1)")
+    x = x.withColumn("_at", at).select("row_id", F.explode(F.transform("_at", lambda i: F.struct(i.alias("p"), F.slice("_w", i + 1, max_ngram).alias("w")))).alias("_s"))
+    x = x.select("row_id", F.col("_s.p").alias("_p"), F.col("_s.w").alias("_w"), F.get("_s.w", F.lit(0)).alias("_first"))
+    found = x.join(g, "_first").where(F.array_join(F.expr("slice(_w, 1, _n)"), " ") == F.col("key"))
     longest = found.groupBy("row_id", "_p").agg(F.max_by(F.struct("canonical", "type"), "_n").alias("_e"))
     return longest.select("row_id", "_e.canonical", "_e.type").groupBy("row_id", "canonical").agg(F.max("type").alias("type"))
 
 
-def rule_names(text: str, stop: frozenset[str] = NOT_NAMES) -> list[tuple[str, str]]:
-    """Proper names of a text: runs of capitalised words, one sentence at a time, with a type from their context."""
-    org, titles, found = set(ORGANISATIONS.split()), tuple(PERSON_TITLES.split()), {}
-    for part in _CUTS.split(text):
-        part = re.sub(r"^[^\wÀ-ÿ]+", "", part.strip())
-        letters = [c for c in part if c.isalpha()]
-        if len(part) < 4 or (letters and sum(map(str.isupper, letters)) > 0.6 * len(letters)):
-            continue
-        for m in _NAME.finditer(part):
-            w = m[0].strip(" .,;:()[]\"'“”«»").split()
-            if len(w) > 1 and w[0].lower() in ARTICLES.split():
-                w = w[1:]
-            name, low = " ".join(w), [x.lower().strip(".,;:") for x in w]
-            if not SHORTEST <= len(name) <= LONGEST or re.match("^[IVXLCDM]+$", name) or _NOISE.search(name) or all(x in stop for x in low) or (len(w) == 1 and m.start() == 0):
-                continue
-            before = part[: m.start()][-40:].lower().rstrip()
-            cue = lambda ends: any(re.search(rf"(?:^|\W){re.escape(e)}$", before) for e in ends)
-            kind = "ORGANIZACION" if org & set(low) else "PERSONA" if cue(titles) else "LUGAR" if cue(PLACE_CUES) else "OTRO"
-            found.setdefault(name, kind)
-    return sorted(found.items())
-
-
-def rule_entities(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows (row_id, text) -> row_id, canonical, type by rule_names."""
-
-    @F.pandas_udf("array<struct<canonical:string,type:string>>")
-    def names(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"canonical": a, "type": b} for a, b in rule_names(t or "")])
-
-    return rows.select("row_id", F.explode(names(text)).alias("_e")).select("row_id", "_e.*")
-
-
 def entities(gaz_hits: DataFrame, others: DataFrame | None = None, most: int = MAX_ENTITIES) -> DataFrame:
     """row_id, canonical, type: at most `most` of a row, dictionary entities first, then by name."""
     x = gaz_hits.select("row_id", "canonical", "type", F.lit(0).alias("_o"))
@@ -145,11 +81,29 @@ def nodes(ents: DataFrame, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
     return n.where(F.col("frequency") >= min_frequency)
 
 
-def co_occurrences(ents: DataFrame) -> DataFrame:
-    """row_id, s, r, o for every two entities of a row, s before o. A row has few entities, so pairs are made within it."""
+def co_occurrences(ents: DataFrame, typed: DataFrame | None = None) -> DataFrame:
+    """row_id, s, r, o for every two entities of a row, s before o. A row has few entities, so pairs are made within it.
+
+    typed (row_id, s, r, o): facts of a relation finder; a pair that has one in its row, in either direction, doesn't
+    co-occur there as well.
+    """
     names = ents.groupBy("row_id").agg(F.sort_array(F.collect_set("canonical")).alias("_n"))
     pairs = F.flatten(F.transform("_n", lambda a, i: F.transform(F.filter("_n", lambda b, j: j > i), lambda b: F.struct(a.alias("s"), b.alias("o")))))
-    return names.select("row_id", F.explode(pairs).alias("_p")).select("row_id", "_p.s", F.lit(CO_OCCURS).alias("r"), "_p.o")
+    out = names.select("row_id", F.explode(pairs).alias("_p")).select("row_id", "_p.s", F.lit(CO_OCCURS).alias("r"), "_p.o")
+    if typed is None:
+        return out
+    said = typed.select("row_id", F.least("s", "o").alias("s"), F.greatest("s", "o").alias("o")).distinct()
+    return out.join(said, ["row_id", "s", "o"], "left_anti").select("row_id", "s", "r", "o")
+
+
+def facts_of(ents: DataFrame, typed: DataFrame | None = None) -> DataFrame:
+    """All facts of the rows: typed ones whose ends are both entities of the row, and co-occurrences of the other pairs."""
+    if typed is None:
+        return co_occurrences(ents)
+    e = ents.select("row_id", "canonical").distinct()
+    own = typed.select("row_id", "s", "r", "o").join(e.withColumnRenamed("canonical", "s"), ["row_id", "s"], "left_semi").join(e.withColumnRenamed("canonical", "o"), ["row_id", "o"], "left_semi")
+    own = own.select("row_id", "s", "r", "o").distinct()
+    return own.unionByName(co_occurrences(ents, own))
 
 
 def triples(facts: DataFrame, rows: DataFrame, most: int = MAX_EVIDENCE) -> DataFrame:
@@ -212,6 +166,13 @@ def search(seed: DataFrame, edge: DataFrame, index: DataFrame, k: int = TOP_ROWS
     return score.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
 
 
+def neighbours_of(edge: DataFrame, node: str) -> DataFrame:
+    """other, direction, r, weight, n_docs of a node's edges, heaviest first: what an exploration lists."""
+    out = edge.where(F.col("s") == node).select(F.col("o").alias("other"), F.lit("out").alias("direction"), "r", "weight", "n_docs")
+    both = out.unionAll(edge.where(F.col("o") == node).select(F.col("s").alias("other"), F.lit("in").alias("direction"), "r", "weight", "n_docs"))
+    return both.orderBy(F.col("weight").desc(), "other", "direction")
+
+
 def degrees(edge: DataFrame) -> DataFrame:
     return both_ways(edge).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 

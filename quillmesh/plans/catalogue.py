@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.plans import graph_queries, record_queries, retrieval_queries, text_queries, vector_queries  # noqa: F401  they register themselves
+from quillmesh.plans import check_queries, file_queries, graph_queries, record_queries, retrieval_queries, text_queries, vector_queries  # noqa: F401  they register themselves
 from quillmesh.plans.registry import QUERIES, SQL, Query
 
 

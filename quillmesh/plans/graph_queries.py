@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators import graph
+from quillmesh.operators import graph, names
 from quillmesh.plans.registry import query, read
 
 #: A small dictionary for the documents' invented prose: alias, name, type.
@@ -42,7 +42,7 @@ def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.rule_entities(_texts(spark, sf_dir))
+    return names.recognise(_texts(spark, sf_dir))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:

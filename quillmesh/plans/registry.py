@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,5 +26,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; on a local master, where that is unset, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
+    return f"{shared.rstrip('/')}/quillmesh/{name}-{uuid.uuid4().hex}"
+
+
+#: Tables whose rows are costly to work on: long texts, markup.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts in fewer files or row groups than there are cores are dealt out, or one core would do all the work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df

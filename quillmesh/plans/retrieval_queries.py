@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import bm25, encoders, evaluation, fusion, ranking, validation, vectors
-from quillmesh.plans.registry import query, read
+from quillmesh.operators import bm25, encoders, evaluation, fusion, ranking, vectors
+from quillmesh.plans.registry import query, read, scratch
 from quillmesh.sources import sinks
 
 TOKENS = f"regexp_extract_all(lower(text), '{bm25.TOKEN}')"
@@ -22,7 +22,8 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return bm25.search(_questions(spark, sf_dir), *bm25.index(_rows(spark, sf_dir)), k)
+    q = _questions(spark, sf_dir)
+    return bm25.search(q, *bm25.index(_rows(spark, sf_dir), queries=q), k)
 
 
 def _bm25_sql(questions: str) -> str:
@@ -82,11 +83,6 @@ def toc_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.contents_last(lexical(spark, sf_dir, 30), rows).select("qid", "row_id", F.col("rnk").cast("long").alias("rnk"))
 
 
-@query()
-def diverse_topn_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.diverse(lexical(spark, sf_dir, 60), _rows(spark, sf_dir)).withColumn("score", F.round("score", 6))
-
-
 _W = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> '')"
 _GRAMS = lambda x: f"list_distinct(list_transform(range(1, greatest(len({_W(x)}) - 2, 1) + 1), lambda i: array_to_string(({_W(x)})[i:i + 2], ' ')))"
 
@@ -169,17 +165,6 @@ def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.token_recall(p, "g", "c").select("id", F.round("recall", 6).alias("recall"))
 
 
-_KEY = lambda x: rf"regexp_replace(regexp_replace(lower(trim({x})), '\.(pdf|json|csv|xlsx|txt|png|jpe?g|pbf)$', ''), '[^a-z0-9]', '', 'g')"
-
-
-@query(f"""
-    WITH d AS (SELECT page_id AS doc, {_KEY("url")} AS k FROM pages), n AS (SELECT DISTINCT source AS name, {_KEY("source")} AS k FROM documents)
-    SELECT name, min(doc) AS doc FROM d JOIN n ON contains(d.k, n.k) OR contains(n.k, d.k) WHERE d.k <> '' AND n.k <> '' GROUP BY name""")
-def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("url").alias("file"))
-    return evaluation.match_files(read(spark, sf_dir, "documents").select(F.col("source").alias("name")), docs)
-
-
 _ABLATION = lambda name, gain: f"SELECT '{name}' AS method, qid, row_id, {gain} AS score FROM l GROUP BY qid, row_id"
 
 
@@ -210,11 +195,6 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.result_objects(docs, frags)
 
 
-@query()
-def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.result_violations(_results(spark, sf_dir), 40)
-
-
 @query(f"""
     WITH {_BM25}, d AS (SELECT qid, doc, max(score) AS score FROM ranked WHERE rnk <= 60 GROUP BY qid, doc), t AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM d QUALIFY r <= 3),
     j AS (SELECT qid, '[' || string_agg('{{"rank":' || r || ',"doc_id":"' || doc || '"}}', ',' ORDER BY r) || ']' AS documents FROM t GROUP BY qid),
@@ -268,17 +248,13 @@ def search_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The tables of the index are written by search.build() in a folder of their own, which also keeps the plan short.
     """
-    import tempfile
-    import uuid
-
     from pyspark.sql import functions as f
 
     from quillmesh.config import Settings
     from quillmesh.plans import graph_queries, search
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", (f.col("doc_id") % 3 + 1).alias("class"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmesh-")
-    settings = Settings().at(f"{shared.rstrip('/')}/quillmesh/index-{uuid.uuid4().hex}")
+    settings = Settings().at(scratch(spark, "index"))
     search.build(docs, settings, f.broadcast(graph_queries._gaz(spark)))
     r = search.Retriever(spark, settings)
     found, frags = r.search(_questions(spark, sf_dir))
@@ -298,7 +274,7 @@ def known_item_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of documents as queries; how well the lexical list finds their documents again."""
     rows = _rows(spark, sf_dir)
     known = evaluation.known_items(rows, 200)
-    hits = bm25.search(known.select("qid", "text"), *bm25.index(rows), 60)
+    hits = bm25.search(known.select("qid", "text"), *bm25.index(rows, queries=known), 60)
     docs = ranking.top_documents(ranking.roll_up(hits, rows), 10)
     return evaluation.probe(docs.select("qid", "doc", "rnk"), known.select("qid", "doc")).select(*(F.round(c, 6).alias(c) for c in ("recall_3", "recall_10", "mrr", "ndcg_10")), "n")
 
@@ -309,6 +285,6 @@ def title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     titles = rows.groupBy("doc").agg(F.substring(F.get(F.split(F.min_by("text", "row_id"), "\n"), F.lit(0)), 1, 120).alias("title"))
     known = evaluation.title_queries(titles, 200)
-    hits = bm25.search(known.select("qid", "text"), *bm25.index(rows), 60)
+    hits = bm25.search(known.select("qid", "text"), *bm25.index(rows, queries=known), 60)
     docs = ranking.top_documents(ranking.roll_up(hits, rows), 10)
     return evaluation.probe(docs.select("qid", "doc", "rnk"), known.select("qid", "doc")).select(*(F.round(c, 6).alias(c) for c in ("recall_3", "recall_10", "mrr", "ndcg_10")), "n")

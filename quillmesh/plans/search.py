@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.config import Settings
 from quillmesh.functions import languages
-from quillmesh.operators import chunking, encoders, fusion, graph, ranking, vectors
+from quillmesh.operators import chunking, encoders, fusion, graph, names, ranking, vectors
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return c.select(F.xxhash64("chunk_id").alias("row_id"), F.col("doc_id").alias("doc"), "pos", "chunk_id", "text", "embed_text", kind.alias("class"), lang.alias("lang"))
 
 
-def build(docs: DataFrame, settings: Settings, gaz: DataFrame | None = None) -> None:
+def build(docs: DataFrame, settings: Settings, gaz: DataFrame | None = None, recogniser: names.Recogniser = names.rule_names, finder: names.RelationFinder | None = None) -> None:
+    """The index of docs. recogniser and finder stand for models of entities and of relations between them."""
     spark = docs.sparkSession
     write = lambda df, name: df.write.mode("overwrite").parquet(settings.path(name))
     write(rows_of(docs), "rows")
@@ -41,14 +42,15 @@ def build(docs: DataFrame, settings: Settings, gaz: DataFrame | None = None) ->
         parts = [vectors.centroids(v.where(F.col("slug") == s), key).withColumn("slug", F.lit(s)) for s in settings.encoders]
         write(reduce(DataFrame.unionByName, parts), f"{key}_centroids")
     if gaz is not None:
-        found = graph.entities(graph.gazetteer_hits(rows, gaz), graph.rule_entities(rows))
+        found = graph.entities(graph.gazetteer_hits(rows, gaz), names.recognise(rows, recogniser))
         write(gaz, "gazetteer")
         write(found, "entities")
         found = spark.read.parquet(settings.path("entities"))
+        typed = names.relate(rows, found, finder) if finder else None
         alive = graph.nodes(found)
         write(alive, "nodes")
         alive = spark.read.parquet(settings.path("nodes"))
-        write(graph.edges(graph.triples(graph.co_occurrences(found), rows), alive), "edges")
+        write(graph.edges(graph.triples(graph.facts_of(found, typed), rows), alive), "edges")
         write(graph.entity_index(found, alive), "entity_index")
 
 

@@ -50,7 +50,7 @@ def _language_sql() -> str:
     sample = f"lower(substr(text, 1, {languages.SAMPLE}))"
     parts = []
     for lang in languages.ORDER:
-        words = ", ".join(f"'{w}'" for w in languages.STOPWORDS[lang].split())
+        words = ", ".join(f"'{w}'" for w in languages.STOPWORDS[lang])
         score = f"len(list_filter(w, lambda x: x IN ({words}))) / greatest(len(w), 1)::DOUBLE"
         if lang in languages.MARKS:
             score += f" + len(regexp_extract_all(s, '{languages.MARKS[lang]}')) / greatest(length(s), 1)::DOUBLE * {languages.MARK_WEIGHT}"

@@ -186,19 +186,32 @@ def extract_one(path: str, data: bytes, plugins: dict) -> dict:
         return out | {"error": f"{type(e).__name__}: {e}"}
 
 
-def extract(spark: SparkSession, path: str, plugins: dict | None = None, glob: str = "*") -> DataFrame:
-    """All files below path -> EXTRACTED plus lang; text is cleaned. Files are read by Spark, from any store it can open."""
+def extracted(found: DataFrame, plugins: dict | None = None) -> DataFrame:
+    """Files (path, content) -> EXTRACTED plus lang; text is cleaned."""
     plugins = PLUGINS if plugins is None else plugins
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([extract_one(p, bytes(c), plugins) for p, c in zip(batch["path"], batch["content"], strict=True)])[[c.split()[0] for c in EXTRACTED.split(", ")]]
+            yield pd.DataFrame([extract_one(p, bytes(c), plugins) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=[c.split()[0] for c in EXTRACTED.split(", ")])
 
-    got = files.mapInPandas(run, EXTRACTED).withColumn("text", clean(F.col("text"))).withColumn("title", F.substring(clean(F.col("title")), 1, 300))
+    got = found.select("path", "content").mapInPandas(run, EXTRACTED).withColumn("text", clean(F.col("text"))).withColumn("title", F.substring(clean(F.col("title")), 1, 300))
     return got.withColumn("lang", languages.detect(F.concat_ws(" ", "title", "text")))
 
 
+def extract(spark: SparkSession, path: str, plugins: dict | None = None, glob: str = "*", only: str | None = None, limit: int | None = None) -> DataFrame:
+    """All files below path, as extracted(). Files are read by Spark, from any store it can open.
+
+    only: a format; limit: so many files, first by path. Spark packs files into tasks by size, largest first.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    if only is not None:
+        kind = F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv))[F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))]
+        found = found.where(F.coalesce(kind, F.lit("txt")) == only)
+    if limit is not None:
+        found = found.orderBy("path").limit(limit)
+    return extracted(found.select("path", "content"), plugins)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """One CSV file with its delimiter found from its first bytes, read by Spark in parallel."""
     head = spark.read.format("binaryFile").load(path).select(F.substring(F.col("content"), 1, SNIFF).alias("h")).first()["h"]

@@ -80,12 +80,36 @@ def queries_from_marks(text: DataFrame, *by: str) -> DataFrame:
     return x.groupBy(*by, "query_id").agg(F.min_by("text", "p").alias("text"))
 
 
+def gold_rows(sheet: DataFrame) -> DataFrame:
+    """A sheet (n: row number, cells) -> n, question, fragment, document, by the names in its first row.
+
+    Rows may have more cells than the header, which then lacks names on the left; without the three names, no rows.
+    """
+    head = sheet.groupBy().agg(F.min_by("cells", "n").alias("_h"), F.min("n").alias("_first"))
+    wide = sheet.join(F.broadcast(head)).where(F.col("n") > F.col("_first")).agg(F.max(F.size("cells")).alias("_wide"))
+    head = head.join(wide).select("_first", F.transform("_h", lambda c: F.upper(F.trim(c))).alias("_h"), F.greatest(F.lit(0), F.coalesce("_wide", F.lit(0)) - F.size("_h")).alias("_shift"))
+    at = lambda name: F.array_position("_h", name).cast("int")
+    x = sheet.join(F.broadcast(head.where((at("PREGUNTA") > 0) & (at("FRAGMENTO") > 0) & (at("DOCUMENTO") > 0)))).where(F.col("n") > F.col("_first"))
+    cell = lambda name: strip(F.coalesce(F.get("cells", at(name) + F.col("_shift") - 1), F.lit("")))
+    return x.select("n", cell("PREGUNTA").alias("question"), cell("FRAGMENTO").alias("fragment"), cell("DOCUMENTO").alias("document"))
+
+
 def gold(rows: DataFrame) -> DataFrame:
-    """rows (n, question, fragment, document) -> question, fragments, files; a blank question continues the one above."""
+    """rows (n, question, fragment, document) -> question, fragments, files; a blank question continues the one above.
+
+    A document cell may have several lines, of which those that are file names count. A gold file is small.
+    """
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    x = rows.select("n", F.last(blank("question"), ignorenulls=True).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)).alias("question"), blank("fragment").alias("f"), blank("document").alias("d"))
-    g = x.where("question is not null").groupBy("question").agg(F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("n", "f")))).alias("f"), F.sort_array(F.collect_list(F.when(F.col("d").rlike(FILE_NAMES), F.struct("n", "d")))).alias("d"))
-    return g.where(F.size("f") > 0).select("question", F.transform("f", lambda x: x["f"]).alias("fragments"), F.array_distinct(F.transform("d", lambda x: x["d"])).alias("files"))
+    names = F.filter(F.transform(F.split(F.coalesce("document", F.lit("")), "\n"), lambda d: F.trim(d)), lambda d: d.rlike(FILE_NAMES))
+    x = rows.select("n", F.last(blank("question"), ignorenulls=True).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)).alias("question"), blank("fragment").alias("f"), names.alias("d"))
+    g = x.where("question is not null").groupBy("question").agg(F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("n", "f")))).alias("f"), F.sort_array(F.collect_list(F.struct("n", "d"))).alias("d"))
+    return g.where(F.size("f") > 0).select("question", F.transform("f", lambda x: x["f"]).alias("fragments"), F.array_distinct(F.flatten(F.transform("d", lambda x: x["d"]))).alias("files"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents or chunks from JSON lines; lines that aren't objects are left out, missing keys are null."""
+    raw = spark.read.text(path)
+    return raw.select(F.from_json("value", schema).alias("_r"), F.col("value")).where(F.trim("value").startswith("{") & F.col("_r").isNotNull()).select("_r.*")
 
 
 def tile_text(columns: list[str]) -> Column:

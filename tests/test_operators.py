@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillmesh.operators import bm25, chunking, evaluation, fusion, graph, ranking, validation, vectors
+from quillmesh.operators import bm25, chunking, evaluation, fusion, graph, names, ranking, validation, vectors
 
 
 def lists(spark, rows):
@@ -171,9 +171,9 @@ def test_gazetteer_takes_the_longest_and_inner_starts(spark):
 
 
 def test_rule_names():
-    got = dict(graph.rule_names("Ayer el presidente Juan Manuel Pérez visitó el municipio de San José. Colombia habló. El Ministerio de Defensa dijo que XXI."))
+    got = dict(names.rule_names("Ayer el presidente Juan Manuel Pérez visitó el municipio de San José. Colombia habló. El Ministerio de Defensa dijo que XXI."))
     assert got["Juan Manuel Pérez"] == "PERSONA" and got["San José"] == "LUGAR" and got["Ministerio de Defensa"] == "ORGANIZACION"
-    assert "Colombia" not in got and "XXI" not in got and not graph.rule_names("ORBITAL DEBRIS CREATED BY TESTS")
+    assert "Colombia" not in got and "XXI" not in got and not names.rule_names("ORBITAL DEBRIS CREATED BY TESTS")
 
 
 def test_places(spark):
