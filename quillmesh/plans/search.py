@@ -54,12 +54,28 @@ def build(docs: DataFrame, settings: Settings, gaz: DataFrame | None = None, rec
         write(graph.entity_index(found, alive), "entity_index")
 
 
+def misaligned(rows: DataFrame, vectors: DataFrame, slugs: tuple[str, ...]) -> DataFrame:
+    """slug, n_rows, n_vectors, rowless, bare for encoders whose vectors aren't those of the rows, one for one.
+
+    rowless: vectors without a row; bare: rows without a vector. No encoder is listed if all are whole.
+    """
+    every = rows.select("row_id", F.explode(F.array(*map(F.lit, slugs))).alias("slug"), F.lit(1).alias("_r"))
+    own = vectors.groupBy("slug", "row_id").agg(F.count(F.lit(1)).alias("_v"))
+    both = every.join(own, ["slug", "row_id"], "full").groupBy("slug")
+    got = both.agg(F.count("_r").alias("n_rows"), F.coalesce(F.sum("_v"), F.lit(0)).alias("n_vectors"), F.count_if(F.col("_r").isNull()).alias("rowless"), F.count_if(F.col("_v").isNull()).alias("bare"))
+    return got.where((F.col("n_rows") != F.col("n_vectors")) | (F.col("rowless") > 0) | (F.col("bare") > 0))
+
+
 class Retriever:
-    def __init__(self, spark: SparkSession, settings: Settings, use_graph: bool = True):
+    """Reads what build() has written. check: compare rows and vectors first, and raise if they don't belong together."""
+
+    def __init__(self, spark: SparkSession, settings: Settings, use_graph: bool = True, check: bool = False):
         self.settings = settings
         self.table = lambda name: spark.read.parquet(settings.path(name))
         self.rows, self.vectors = self.table("rows"), self.table("vectors")
         self.use_graph = use_graph
+        if check and (wrong := misaligned(self.rows, self.vectors, settings.encoders).collect()):
+            raise ValueError(f"rows and vectors don't belong together: {[r.asDict() for r in wrong]}")
 
     def lists(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Ranked lists of all encoders and the graph; query vectors by encoder."""

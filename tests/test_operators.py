@@ -176,6 +176,58 @@ def test_rule_names():
     assert "Colombia" not in got and "XXI" not in got and not names.rule_names("ORBITAL DEBRIS CREATED BY TESTS")
 
 
+def test_names_use_the_given_tables():
+    lex = names.Lexicon(titles=frozenset({"captain"}), places=frozenset({"town of"}), organisations=frozenset({"harbour office"}), articles=frozenset({"the"}), links=frozenset({"of", "of the"}), stop=frozenset({"monday"}))
+    t = "Today captain Ada Moss of the Isle came on Monday; near the town of Brill she saw The Harbour Office. Then Brill slept\nXIV and\nA LOUD HEADLINE OF WORDS"
+    assert names.rule_names(t, lex) == [("Ada Moss of the Isle", "PERSONA"), ("Brill", "LUGAR"), ("Harbour Office", "ORGANIZACION"), ("Then Brill", "OTRO")]
+    assert names.rule_names("", lex) == [] and names.rule_names("ab", lex) == []
+
+
+def test_table_artefacts_are_no_names():
+    import re
+
+    for noise in ("https://a.b", "Li J. | x", "| x", "x |", "Chapter 3: y", "Jan;15(1):25", "Publication Year: 2020", "DOI : x", "Journal/Book: z"):
+        assert re.search(names.TABLE_NOISE, noise), noise
+    for name in ("ISO 24113:2023", "Gender Equality", "Outcome"):
+        assert not re.search(names.TABLE_NOISE, name), name
+
+
+def test_recognisers_and_relations_are_plugged_in(spark):
+    rows = spark.createDataFrame([(1, "alpha helps beta and gamma"), (2, None), (3, "alpha beta")], "row_id int, text string")
+    ents = names.recognise(rows, lambda t: [(w, "W") for w in t.split() if w in ("alpha", "beta", "gamma")] + [("x |", "N")])
+    assert {(r["row_id"], r["canonical"]) for r in ents.collect()} == {(1, "alpha"), (1, "beta"), (1, "gamma"), (3, "alpha"), (3, "beta")}
+    typed = names.relate(rows, ents, lambda t, own: [("beta", "helped_by", "alpha")] * 2 + [("beta", "sees", "delta"), ("beta", "is", "beta")] if "helps" in t else [])
+    assert [tuple(r) for r in typed.collect()] == [(1, "beta", "helped_by", "alpha")]
+    got = {(r["row_id"], r["s"], r["r"], r["o"]) for r in graph.facts_of(ents, typed).collect()}
+    assert got == {(1, "beta", "helped_by", "alpha"), (1, "alpha", graph.CO_OCCURS, "gamma"), (1, "beta", graph.CO_OCCURS, "gamma"), (3, "alpha", graph.CO_OCCURS, "beta")}
+    words = names.common_words(spark.createDataFrame([("The the the Madrid madrid Madrid",)], "text string"))
+    assert [r["word"] for r in words.collect()] == ["the"]
+
+
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_gazetteer_of_any_size(spark, most):
+    g = graph.gazetteer(spark.createDataFrame([("red fox", "fox", "A", 0), ("fox den", "den", "P", 1)], "alias string, canonical string, type string, prio int"))
+    rows = spark.createDataFrame([(1, "a Red-Fox den"), (2, "red red fox"), (3, ""), (4, None)], "row_id int, text string")
+    assert {(r["row_id"], r["canonical"]) for r in graph.gazetteer_hits(rows, g, most_starts=most).collect()} == {(1, "fox"), (1, "den"), (2, "fox")}
+
+
+@pytest.mark.parametrize("min_df", [1, 2, 3])
+def test_bm25_of_asked_terms_equals_that_of_all(spark, min_df):
+    rows = spark.createDataFrame([(1, "a b b c"), (2, "b c d"), (3, "c c e"), (4, ""), (5, "f")], "row_id int, text string")
+    q = spark.createDataFrame([(1, "B c"), (2, "e f a")], "qid int, text string")
+    every, asked = (sorted(map(tuple, bm25.search(q, *bm25.index(rows, min_df, queries)).collect())) for queries in (None, q))
+    assert every == asked and (min_df > 2 or every)
+
+
+def test_vectors_that_lost_their_rows_are_named(spark):
+    from quillmesh.plans import search
+
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "row_id long")
+    v = spark.createDataFrame([("a", i) for i in (1, 2, 3)] + [("b", i) for i in (1, 2, 2, 9)], "slug string, row_id long")
+    assert [tuple(r) for r in search.misaligned(rows, v, ("a", "b")).collect()] == [("b", 3, 4, 1, 1)]
+    assert search.misaligned(rows, v, ("a",)).where("slug = 'a'").count() == 0
+
+
 def test_places(spark):
     a = spark.createDataFrame([("Calamar, El Retorno (Guaviare); Guaviare, Uno (Meta)",)], "municipios string")
     got = {r["name"]: r["type"] for r in graph.places_of_alerts(a).collect()}

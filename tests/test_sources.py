@@ -139,3 +139,23 @@ def test_index_is_built_and_searched(spark, tmp_path):
     assert encoders.misaligned(rows, kept, e, "embed_text").count() == 0
     cache = encoders.encode_changed(rows.select("row_id", "embed_text"), kept.select("row_id", F.lit(0).cast("long").alias("text_hash"), "v"), e, "embed_text")
     assert cache.count() == rows.count() and "<li>" in sinks.review_html(sinks.result_objects(found, frags))
+
+
+def test_files_by_format_and_number(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "c.csv", "d.odd"):
+        (tmp_path / name).write_text("x,y\n1,2\n")
+    of = lambda **k: sorted(r["path"].rsplit("/", 1)[-1] for r in files.extract(spark, str(tmp_path), **k).collect())
+    assert of() == ["a.txt", "b.txt", "c.csv", "d.odd"] and of(only="csv") == ["c.csv"] and of(only="txt", limit=2) == ["a.txt", "b.txt"]
+
+
+def test_json_lines_are_read_with_types(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1, "b": "é"}\nnot json\n\n{"b": "y"}\n[1]\n')
+    got = records.read_jsonl(spark, str(tmp_path), "a long, b string")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "é"), (None, "y")]
+
+
+def test_gold_sheets_need_their_headers(spark):
+    sheet = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "n int, cells array<string>")
+    got = records.gold(records.gold_rows(sheet(["Documento", "PREGUNTA", " fragmento "], ["a.pdf\nnote\nb.TXT", "Why?", "f1"], ["", "", "f2"], ["c.pdf", "No fragment?", ""]))).collect()
+    assert [(r["question"], r["fragments"], r["files"]) for r in got] == [("Why?", ["f1", "f2"], ["a.pdf", "b.TXT"])]
+    assert records.gold_rows(sheet(["a", "b"], ["c", "d"])).count() == 0 and records.gold_rows(sheet(["PREGUNTA", "FRAGMENTO", "DOCUMENTO"])).count() == 0
