@@ -56,10 +56,15 @@ def release(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The store of a path, and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    store, at = _at(spark, path)
+    store.delete(at, True)
 
 
 @atexit.register
@@ -77,12 +82,17 @@ def private(*tables: DataFrame, stem: str = "_own") -> str:
     return next(x for i in itertools.count() if (x := f"{stem}{i}") not in taken)
 
 
-#: The most rows of a narrow table (a few numbers each) that are broadcast; larger ones are shuffled.
-SMALL_ROWS = 400_000
+#: The most rows of a narrow table (a few numbers each), and bytes of its files, that are broadcast; larger ones are shuffled.
+SMALL_ROWS, SMALL_BYTES = 400_000, 16 << 20
 
 
-def small(table_: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """table_, which was written by cut(), marked for broadcast if its counted rows are few enough."""
+def small(table_: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """table_, which was written by cut(), marked for broadcast if its counted rows and the bytes of its files are few enough."""
+    path = getattr(table_, "_written", None)
+    if path in _written:
+        store, at = _at(_written[path], path)
+        if store.getContentSummary(at).getLength() > size:
+            return table_
     return F.broadcast(table_) if table_.count() <= rows else table_
 
 

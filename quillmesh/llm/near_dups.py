@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, partitions, private, small, with_group_min
+from quillmesh.llm.common import cut, partitions, private, release, small, with_group_min
 from quillmesh.llm.graphs import merged
 
 WORDS = 5
@@ -241,7 +241,7 @@ def hashed(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def owned(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """s, rep, v, n, df: a row for each shingle of each representative in rows, with the number of its owners."""
+    """s, rep, v, n, df: a row for each shingle of each representative in rows that has several owners, and their number."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,7 +254,10 @@ def owned(sets: DataFrame, rows: DataFrame) -> DataFrame:
     ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     every = sets.join(small(ids), "doc_id", "left_semi").select("doc_id", "v", "n", "s").mapInPandas(scan, "s long, rep long, v long, n long")
     every = cut(every, "shingles")
-    return _with(every, cut(every.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "owners"), "s")
+    owners = cut(every.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "owners")
+    out = cut(_with(every, owners, "s"), "owned")
+    release(ids, every, owners)
+    return out
 
 
 def typical(rows: DataFrame, shared_: DataFrame, threshold: float) -> DataFrame:
@@ -307,7 +310,7 @@ def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that reach the threshold: first by the registers' estimate, and what it leaves by the full sets."""
+    """Pairs that reach the threshold, as a written table: first by the registers' estimate, and what it leaves by the full sets."""
     percent = round(100 * threshold)
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,7 +330,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
     left = cut(_sides(pairs, sets, ["n", "regs"]).mapInPandas(guess, "a long, b long").distinct(), "hopeful")
-    return _sides(left, sets, ["s"]).mapInPandas(verify, "a long, b long").distinct()
+    out = cut(_sides(left, sets, ["s"]).mapInPandas(verify, "a long, b long").distinct(), "found")
+    release(left)
+    return out
 
 
 def classify(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -338,7 +343,9 @@ def classify(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD)
     member = cut(member.select("doc_id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "members")
     classes = member.where("doc_id = rep").select("rep", "n", "regs")
     rows = cut(shared(buckets(classes, threshold).distinct()), "buckets")
-    sets = cut(hashed(docs, cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids"), width), "sets")
+    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = cut(hashed(docs, ids, width), "sets")
+    release(ids)
     # rows of one doc_id that differ in text are one document: their classes are linked through it
     known = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")
     known = cut(known, "links")
@@ -351,18 +358,28 @@ def classify(docs: DataFrame, width: int = WORDS, threshold: float = THRESHOLD)
             pairs = pairs.select("a", "b", *ends).join(small(tried), ["x", "y"], "left_anti").select("a", "b")
         pairs = cut(pairs, "pairs")
         now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        found = cut(confirmed(pairs, sets, threshold), "found")
-        return (labels if found.isEmpty() else merged(labels, found)), cut(now if tried is None else tried.union(now), "tried")
+        found = confirmed(pairs, sets, threshold)
+        more = labels if found.isEmpty() else merged(labels, found)
+        tested = cut(now if tried is None else tried.select("x", "y").union(now), "tried")
+        release(pairs, found, *([tried] if tried is not None else []))
+        return more, tested
+
+    def still(rows: DataFrame) -> DataFrame:
+        left = unsettled(rows, labels)
+        release(rows)
+        return left
 
     labels, tried = link(star(rows, threshold), None)
-    rows = unsettled(rows, labels)
+    rows = still(rows)
     if not rows.isEmpty():
-        common = cut(owned(sets, rows), "owned")
+        common = owned(sets, rows)
         labels, tried = link(typical(rows, common, threshold), tried)
-        rows = unsettled(rows, labels)
+        rows = still(rows)
         if not rows.isEmpty():
             left = cut(rows.select("rep").distinct(), "ids")
             labels, tried = link(prefixed(rows, common.join(small(left), "rep", "left_semi"), threshold), tried)
+        release(common)
+    release(tried, rows, sets)
     own = member.select("doc_id", "rep").join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
     got = own.groupBy(F.col("doc_id").alias("_id")).agg(F.min("rep").alias("_component"))
     return sketch.select("doc_id", "n_shingles").join(got, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))

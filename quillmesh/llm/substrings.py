@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut as written
-from quillmesh.llm.common import partitions
+from quillmesh.llm.common import partitions, release
 
 LINE_CHARS = 80
 MIN_WORDS, MIN_SENTENCE = 3, 5
@@ -140,12 +140,15 @@ def later_occurrences(docs: DataFrame, salts: int) -> DataFrame:
     The first occurrences are found with map-side combine, so a unit that is in a third of all rows reaches no task as
     rows; the occurrences then meet them over (digest, salt).
     """
-    occ = written(occurrences(docs), "occurrences").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    table = written(occurrences(docs), "occurrences")
+    occ = table.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
     first = occ.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_h", "idx")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = written(first.where("_n > 1").select("d1", "d2", F.col("_first._id").alias("_kid"), F.col("_first._h").alias("_kh"), F.col("_first.idx").alias("_kidx")), "first")
     found = occ.join(occ.select("d1", "d2", "_salt").distinct().join(first, ["d1", "d2"]), ["d1", "d2", "_salt"])
     found = found.where((F.col("_id") != F.col("_kid")) | (F.col("_h") != F.col("_kh")) | (F.col("idx") != F.col("_kidx")))
-    return written(found.select("_id", "_h", "idx", "_kid", "_kh", "_kidx").dropDuplicates(["_id", "_h", "idx"]), "later")
+    out = written(found.select("_id", "_h", "idx", "_kid", "_kh", "_kidx").dropDuplicates(["_id", "_h", "idx"]), "later")
+    release(table, first)
+    return out
 
 
 def edges(docs: DataFrame, later: DataFrame, salts: int) -> list[DataFrame]:
@@ -171,6 +174,7 @@ def edges(docs: DataFrame, later: DataFrame, salts: int) -> list[DataFrame]:
         other = ends.select(*kept.values(), "side", "_salt").distinct().join(other, [*kept.values(), "side"])
         both = ends.join(said, ["_id", "_h", "idx", "side", "stop"]).join(other, [*kept.values(), "side", "_salt"])
         done = written(both.select(*ends.columns, alike("words", "_other").alias("_n")), "edges")
+        release(said)
         out.append(done.where((F.col("_n") < size) & (F.col("_n") + at > 0)).select("_id", "_h", "idx", "side", (F.col("_n") + at).alias("n")))
         ends, at, size = done.where(F.col("_n") == size).drop("_n"), at + size, size * EDGE_GROWTH
     return out
