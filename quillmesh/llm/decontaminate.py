@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import cut, private
 
 WIDTH = 10
-#: The most prefix shingles that are picked inside the scan; and the most rows of prefixes, each with two times `width`
+#: The most shingles that are picked or counted inside the scan; and the most rows of prefixes, each with two times `width`
 #: words at most, and of distinct shingles that are broadcast.
-PICKED_KEYS = 20_000
+PICKED_KEYS = 30_000
 BROADCAST_ROWS, BROADCAST_SHINGLES = 50_000, 500_000
 #: Fixed by the contract: a word is a run of digits, letters and all beyond ASCII. Case is left for later: full
-#: lower-casing is cheap and never splits a word, so it finds candidates; A-Z alone are lowered to confirm them.
+#: lower-casing is cheap and never splits or joins words, so it finds candidates (with one form of sigma, the only letter
+#: whose lower case depends on its neighbours); A-Z alone are lowered to confirm them.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,22 +46,54 @@ def lowered(a: Column) -> Column:
     return F.when(F.size(a) == 0, a).otherwise(F.split(F.translate(F.array_join(a, " "), UPPER, LOWER), " "))
 
 
+def fold(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
+def folded(a: Column) -> Column:
+    return F.when(F.size(a) == 0, a).otherwise(F.split(fold(F.array_join(a, " ")), " "))
+
+
 def shingles(low: Column) -> Column:
     """The two-word shingle at each place of an array of words in lower case; at the last place, the word alone."""
     return F.when(F.size(low) == 0, low).otherwise(F.zip_with(low, F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _set(values: set[str]) -> str:
+    """SQL's list of words; they have no ASCII sign but the blank, so nothing needs to be escaped."""
+    return ", ".join(f"'{x}'" for x in sorted(values))
+
+
+def _found(pairs: list[str]) -> str:
+    """SQL's test whether place i of _l begins one of these shingles: its word alone is looked up first."""
+    if not pairs:
+        return "false"
+    return f"_l[i - 1] IN ({_set({k.split(' ')[0] for k in pairs})}) AND concat_ws(' ', _l[i - 1], get(_l, i)) IN ({_set(set(pairs))})"
+
+
+def _places(words_: str, test: str) -> Column:
+    """The places, from 1, of an array of words for which SQL's test of i holds. Rows without words aren't filtered out
+    before: a filter on the array would be pushed below it and cut the text once more."""
+    return F.expr(f"CASE WHEN size({words_}) > 0 THEN filter(sequence(1, size({words_})), i -> {test}) END")
+
+
 def prefixes(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, item_id, word, left and right (the words beside it as far as windows reach), need (words in a window)."""
     own = items.select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("_k"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    own = own.select("item_id", "_k", lowered(F.col("_w")).alias("w"), F.least(F.size("_w"), F.lit(width)).alias("need"), (F.transform("_w", F.lower) if width == 1 else shingles(F.transform("_w", F.lower))).alias("_s"))
+    own = own.select("item_id", "_k", lowered(F.col("_w")).alias("w"), F.least(F.size("_w"), F.lit(width)).alias("need"), (folded(F.col("_w")) if width == 1 else shingles(folded(F.col("_w")))).alias("_s"))
     own = cut(own, "items")
     spot = own.select("_k", F.posexplode("_s").alias("pos", "key"))
     vocabulary = cut(spot.select("key").distinct(), "shingles")
-    low = F.transform(words(F.col("text")), F.lower)
-    # a document's last place has its word alone, and an item of one word counts by such places only: any order will do
-    counts = docs.select(F.explode(shingles(low)).alias("key"))
-    counts = counts.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_SHINGLES else vocabulary, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # an item of one word has one shingle, whose count doesn't matter
+    few = [r["key"] for r in vocabulary.limit(PICKED_KEYS + 1).collect()]
+    low = docs.select(words(fold(F.col("text"))).alias("_l"))
+    if len(few) <= PICKED_KEYS:
+        at = _places("_l", _found([k for k in few if " " in k]))
+        counts = low.select(F.explode(F.transform(at, lambda i: F.concat_ws(" ", F.get("_l", i - 1), F.get("_l", i)))).alias("key"))
+    else:
+        counts = low.select(F.explode(shingles(F.col("_l"))).alias("key"))
+        counts = counts.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_SHINGLES else vocabulary, "key")
+    counts = counts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     place = F.struct("pos", F.coalesce("n", F.lit(0)).alias("n"), "key")
     ranked = spot.join(counts, "key", "left").groupBy("_k").agg(F.array_sort(F.collect_list(place)).alias("_t")).withColumnRenamed("_k", "_k2")
     window = lambda at: F.array_min(F.transform(F.slice("_t", at, F.greatest(F.col("need") - 1, F.lit(1))), lambda x: F.struct(x["n"], x["key"], x["pos"])))
@@ -81,23 +114,16 @@ def _agree(theirs: Column, ours: Column) -> Column:
     return F.when(F.size(differ) == 0, F.least(F.size(theirs), F.size(ours))).otherwise(first - 1)
 
 
-def _set(values: list[str]) -> str:
-    """SQL's list of words; they have no ASCII sign but the blank, so nothing needs to be escaped."""
-    return ", ".join(f"'{x}'" for x in sorted(values))
-
-
 def picked(d: DataFrame, keys: list[str]) -> DataFrame:
     """d (_w: words) with _at: the places, from 1, of these shingles; picked inside the scan of the documents."""
     pairs, single = [k for k in keys if " " in k], [k for k in keys if " " not in k]
-    tests = [f"_l[i - 1] IN ({_set({k.split(' ')[0] for k in pairs})}) AND concat_ws(' ', _l[i - 1], get(_l, i)) IN ({_set(pairs)})"] if pairs else []
-    tests += [f"_l[i - 1] IN ({_set(single)})"] if single else []
-    where = " OR ".join(f"({t})" for t in tests) or "false"
-    return d.withColumn("_l", F.transform("_w", F.lower)).withColumn("_at", F.expr(f"filter(sequence(1, size(_w)), i -> {where})")).drop("_l")
+    where = f"{_found(pairs)} OR _l[i - 1] IN ({_set(set(single))})" if single else _found(pairs)
+    return d.withColumn("_l", folded(F.col("_w"))).withColumn("_at", _places("_w", where)).drop("_l")
 
 
 def joined(d: DataFrame, prefix: DataFrame) -> DataFrame:
     """As picked(), for any number of shingles: the documents' shingles meet them by a shuffle, without their texts."""
-    low = F.transform("_w", F.lower)
+    low = folded(F.col("_w"))
     spot = d.select("doc_id", "_h", F.posexplode(F.zip_with(shingles(low), low, lambda a, b: F.array_distinct(F.array(a, b)))).alias("_p", "_s")).select("doc_id", "_h", "_p", F.explode("_s").alias("key"))
     spot = spot.join(prefix.select("key").distinct(), "key", "left_semi")
     per = spot.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2")).agg(F.collect_set(F.col("_p") + 1).alias("_at"))
@@ -106,13 +132,13 @@ def joined(d: DataFrame, prefix: DataFrame) -> DataFrame:
 
 def runs(docs: DataFrame, prefix: DataFrame, width: int = WIDTH, most_keys: int = PICKED_KEYS, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, _h, item_id, first, last: confirmed runs of words, numbered from 1. prefix: a written table."""
-    d = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    d = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), words(F.col("text")).alias("_w"))
     keys = [r["key"] for r in prefix.select("key").distinct().limit(most_keys + 1).collect()]
     d = picked(d, keys) if len(keys) <= most_keys else joined(d, prefix)
     low = lambda i: F.greatest(F.lit(1), i - (width - 1))
     around = F.transform("_at", lambda i: F.struct(i.alias("p"), F.get("_w", i - 1).alias("x"), F.reverse(F.slice("_w", low(i), i - low(i))).alias("l"), F.slice("_w", i + 1, width - 1).alias("r")))
     d = d.select("doc_id", "_h", F.size("_w").alias("_n"), F.explode(around).alias("_c")).select("doc_id", "_h", "_n", "_c.*")
-    d = d.withColumn("_x", F.lower("x")).withColumn("_next", F.lower(F.get("r", F.lit(0))))
+    d = d.withColumn("_x", fold(F.col("x"))).withColumn("_next", fold(F.get("r", F.lit(0))))
     d = d.withColumn("_key", F.explode(F.array_distinct(F.array(F.concat_ws(" ", "_x", "_next"), "_x"))))
     # length and positional bounds: a window of so many words fits in the text with this word at its place
     fits = (F.col("_n") >= F.col("need")) & (F.size("l") + F.size("r") + 1 >= F.col("need"))
