@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators import graph, names
-from quillmesh.plans.registry import query, read
+from quillmesh.plans.registry import query, read, written
 
 #: A small dictionary for the documents' invented prose: alias, name, type.
 ALIASES = [("the", "The", "WORD"), ("of the", "Of The", "PAIR"), ("Élle", "Elle", "WORD"), ("de la", "De La", "PAIR"), ("der", "Der", "WORD"), ("in the", "In The", "PAIR"), ("Apache License", "Apache", "LICENCE"), ("licensed under the Apache License", "Apache Notice", "LICENCE"), ("que", "Que", "WORD")]
@@ -63,10 +63,10 @@ _EDGES = f"""{_ENTS}, co AS (SELECT a.row_id, a.canonical AS s, b.canonical AS o
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, nodes and edges."""
-    e = _entities(spark, sf_dir)
+    """Entities, nodes and edges; the entities and nodes, from which all else is made, are written once."""
+    e = written(_entities(spark, sf_dir), "entities")
     rows = e.select("row_id", (F.col("row_id") % 97).alias("doc")).distinct()
-    n = graph.nodes(e)
+    n = written(graph.nodes(e), "nodes")
     return e, n, graph.edges(graph.triples(graph.co_occurrences(e), rows), n)
 
 
@@ -112,6 +112,7 @@ def edge_topk_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_1hop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node is a query that names it in other letters."""
     e, n, edge = _graph(spark, sf_dir)
+    edge = written(edge, "edges")
     s = graph.seeds(n.select(F.col("canonical").alias("qid"), F.upper("canonical").alias("canonical")), n)
     scored = graph.search(s, edge, graph.entity_index(e, n), k=1 << 30).withColumn("score", F.round("score", 6)).drop("rnk")
     from quillmesh.operators.vectors import ranked

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,17 +28,29 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+#: The temporary folder of this process, if it needed one.
+_own: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that spark.checkpoint.dir names; on a local master, where that is unset, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (_own[0] if _own else None)
     if not shared:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
+        _own.append(shared := "file://" + tempfile.mkdtemp(prefix="quillmesh-"))
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), ignore_errors=True)
     return f"{shared.rstrip('/')}/quillmesh/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the scratch folder: what several branches of a plan need is made once, and its lineage ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Tables whose rows are costly to work on: long texts, markup.
 TEXTS = ("documents", "pages", "conversations")
 
