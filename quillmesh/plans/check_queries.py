@@ -104,7 +104,7 @@ def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def heading(lines):
         return lines.map(chunking.is_heading)
 
-    x = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("b")).select("doc_id", F.trim(F.lit(" \t\r"), "b").alias("b")).where("b <> ''")
+    x = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("b")).select("doc_id", F.trim(F.col("b"), F.lit(" \t\r")).alias("b")).where("b <> ''")
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(heading("b")).alias("n_headings"))
 
 
