@@ -192,7 +192,18 @@ def gold_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("n", *(F.round(c, 6).alias(c) for c in ("f1_3", "ndcg_10", "coverage")))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {retrieval_queries._BM25}, cw AS (SELECT r.qid, r.row_id, r.rnk, r.doc, r.score, {_WORDS("d.text")} AS w FROM ranked r JOIN documents d ON d.doc_id = r.row_id WHERE rnk <= 60),
+    c AS (SELECT *, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(list_zip(w[:len(w) - 2], w[2:len(w) - 1], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]) ELSE [array_to_string(w, ' ')] END) AS g FROM cw),
+    gu AS (SELECT qid, rnk, len(g) AS n, unnest(g) AS gram FROM c), both_have AS (SELECT a.qid, a.rnk AS first, b.rnk, min(a.n) AS n, min(b.n) AS m, count(*) AS c FROM gu a JOIN gu b ON a.qid = b.qid AND a.gram = b.gram AND a.rnk < b.rnk GROUP BY a.qid, a.rnk, b.rnk),
+    near AS (SELECT qid, rnk, list(first) AS bad FROM both_have WHERE c / least(n, m)::DOUBLE > {ranking.MAX_OVERLAP} GROUP BY qid, rnk),
+    k AS (SELECT c.qid, c.rnk, c.doc, coalesce(bad, []) AS bad FROM c LEFT JOIN near ON near.qid = c.qid AND near.rnk = c.rnk),
+    step AS (SELECT DISTINCT qid, 0::BIGINT AS n, []::VARCHAR[] AS docs, []::BIGINT[] AS kept FROM k UNION ALL
+      SELECT qid, n + 1, CASE WHEN ok THEN list_append(docs, doc) ELSE docs END, CASE WHEN ok THEN list_append(kept, rnk) ELSE kept END
+      FROM (SELECT s.*, k.doc, k.rnk, len(kept) < {ranking.N_FRAGMENTS} AND len(list_filter(docs, lambda d: d = k.doc)) < {ranking.MAX_PER_DOC} AND NOT list_has_any(kept, bad) AS ok FROM step s JOIN k ON k.qid = s.qid AND k.rnk = s.n + 1)),
+    last AS (SELECT qid, kept FROM step QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC) = 1),
+    o AS (SELECT c.qid, c.row_id, c.doc, c.score, row_number() OVER (PARTITION BY c.qid ORDER BY NOT list_contains(kept, c.rnk), c.rnk) AS rnk FROM c JOIN last ON last.qid = c.qid)
+    SELECT qid, row_id, doc, round(score, 6) AS score, rnk::INTEGER AS rnk FROM o WHERE rnk <= {ranking.N_FRAGMENTS}""".replace("\\\\", "\\"))
 def diverse_topn_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fragment goes if it shares too many trigrams with one that is kept, or its document has enough."""
     return ranking.diverse(retrieval_queries.lexical(spark, sf_dir, 60), retrieval_queries._rows(spark, sf_dir)).withColumn("score", F.round("score", 6))
@@ -224,3 +235,15 @@ def ablation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = retrieval_queries._gold(spark, sf_dir).groupBy("qid").agg(F.min("row_id").alias("doc"))
     grid = spark.createDataFrame([(w, k) for w in (0.0, 0.5, 1.0, 1.5) for k in (10, 60)], "weight double, k0 int")
     return evaluation.sweep(lists[0], lists[1], grid, known).select("weight", "k0", F.round("recall_3", 6).alias("recall_3"), F.round("mrr", 6).alias("mrr"))
+
+
+@query("""
+    WITH c AS (SELECT conv_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, trim(text) AS t, turn % 7 = 0 AS forced FROM conversations WHERE conv_id % 9 <> 4)
+    SELECT count(*) AS n_chunks, round(avg(n), 6) AS mean_words, median(n)::DOUBLE AS median_words, min(n)::INTEGER AS min_words, max(n)::INTEGER AS max_words, count(*) FILTER (n > 240) AS over_240, count(*) FILTER (n > 250) AS over_250, count(*) FILTER (forced) AS forced,
+      round(avg(CASE WHEN regexp_matches(t, '[.!?…»"\\'')\\]][\\d\\s]*$') THEN 1.0 ELSE 0.0 END), 6) AS closes_sentence, round(avg(CASE WHEN regexp_matches(t, '^[a-záéíóúüñ]') THEN 0.0 ELSE 1.0 END), 6) AS opens_sentence,
+      (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 9 = 4) AS docs_without FROM c""".replace("\\\\", "\\").replace("\\'')", "'')"))
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns stand for chunks; some conversations have none."""
+    c = read(spark, sf_dir, "conversations")
+    chunks = chunking.with_words(c.where("conv_id % 9 <> 4").select(F.col("conv_id").cast("string").alias("doc_id"), "text", (F.col("turn") % 7 == 0).alias("forced")))
+    return chunking.statistics(chunks, c.select(F.col("conv_id").alias("doc_id")).distinct())

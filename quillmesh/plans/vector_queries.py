@@ -182,7 +182,13 @@ def _by_doc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ranking.roll_up(fusion.fuse(lists(spark, sf_dir)), rows), vectors.centroids(rows, "doc")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_DOCS}, near AS (SELECT y.qid, y.rnk, list(x.rnk) AS bad FROM t x JOIN t y ON x.qid = y.qid AND x.rnk < y.rnk JOIN sim ON sim.a = x.doc AND sim.b = y.doc WHERE s > 0.2 OR (x.doc % 2 <> y.doc % 2 AND s > 0.1) GROUP BY y.qid, y.rnk),
+    k AS (SELECT t.qid, t.rnk, coalesce(bad, []) AS bad FROM t LEFT JOIN near ON near.qid = t.qid AND near.rnk = t.rnk),
+    step AS (SELECT DISTINCT qid, 0::BIGINT AS n, []::BIGINT[] AS kept FROM k UNION ALL SELECT s.qid, s.n + 1, CASE WHEN len(kept) < 3 AND NOT list_has_any(kept, bad) THEN list_append(kept, rnk) ELSE kept END FROM step s JOIN k ON k.qid = s.qid AND k.rnk = s.n + 1),
+    last AS (SELECT qid, kept FROM step QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC) = 1),
+    o AS (SELECT t.qid, t.doc, t.score, row_number() OVER (PARTITION BY t.qid ORDER BY NOT list_contains(kept, t.rnk), t.rnk) AS rnk FROM t JOIN last ON last.qid = t.qid)
+    SELECT qid, doc, round(score, 6) AS score, rnk::INTEGER AS rnk FROM o WHERE rnk <= 3""")
 def dedup_topn_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three documents without copies; thresholds are low, as no two of these centroids are near."""
     docs, c = _by_doc(spark, sf_dir)
