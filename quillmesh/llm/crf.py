@@ -7,6 +7,8 @@ each distinct token of a batch.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -135,17 +137,154 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
+def surely_o(model: Crf, emissions: np.ndarray) -> np.ndarray:
+    """Of successive tokens (n, k): where no best path has another label than O, whatever the tokens around.
+
+    If a path has y at t, O is put there, and B-x for an I-x behind it. Where that gains for all labels before and
+    after, y is in no best path. The emission behind a chain's end may be any: it can only make a token less sure.
+    """
+    labels, trans = model.labels, model.trans
+    o, ids = labels.index("O"), range(len(labels))
+    step = lambda a, b: 0.0 if b is None else trans[a, b]
+    first = {i: labels.index("B" + x[1:]) for i, x in enumerate(labels) if x.startswith("I")}
+    lost = np.full(len(emissions), -np.inf)
+    for y in ids:
+        if y == o:
+            continue
+        enter = max(row[y] - row[o] for row in [*trans, model.start] if row[y] > LOW / 2)
+        most = np.full(len(emissions), enter + max(step(y, b) - step(o, b) for b in [*ids, None] if b not in first))
+        for i, b in first.items():
+            if trans[y, i] > LOW / 2:
+                leave = max(step(i, c) - step(b, c) for c in [*ids, None] if step(i, c) > LOW / 2)
+                swap = emissions[1:, i] - emissions[1:, b] + enter + trans[y, i] - trans[o, b] + leave
+                most[:-1] = np.maximum(most[:-1], swap)
+        lost = np.maximum(lost, emissions[:, y] - emissions[:, o] + most)
+    return lost < -1e-6
+
+
+def blocks(texts: list[str], token: re.Pattern) -> Iterator[list[tuple[int, int, int]]]:
+    """(text number, start, end) of the texts in blocks of some PIECE characters; longer texts are cut behind tokens.
+    A token is a maximal run of one class of characters."""
+    block, size = [], 0
+    for n, text in enumerate(texts):
+        a = 0
+        while a < len(text):
+            last = token.search(text, a + PIECE) if len(text) - a > PIECE else None
+            b = last.end() if last else len(text)
+            if block and size + b - a > PIECE:
+                yield block
+                block, size = [], 0
+            block.append((n, a, b))
+            a, size = b, size + b - a
+    if block:
+        yield block
+
+
 #: Sequences of one decode call; bounds the memory of a Viterbi batch together with its longest sequence.
 BATCH = 512
+#: Characters of texts that are scored at once, and tokens and their characters whose vectors are kept.
+PIECE, KNOWN, KNOWN_CHARS = 200_000, 100_000, 4_000_000
 
 
 class Tagger:
-    """Decodes runs of tokens. A token that cannot carry an entity is fixed to O, which cuts the chain exactly
-    there, so only the maximal runs of other tokens are decoded, each with the features of its neighbours."""
+    """label() decodes every token of whole texts. decode() is for runs of tokens between others that the caller fixes
+    to O, which cuts the chain exactly there; each run has the features of its neighbours."""
 
     def __init__(self, model: Crf, features):
         self.model, self.features = model, features
         self.cache: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sides = (model.own, model.prev, model.next)
+        self.weight_of = {f: i + 1 for i, f in enumerate(dict.fromkeys(f for w in sides for f in w))}
+        self.weights = np.zeros((len(self.weight_of) + 1, 3, len(model.labels)))
+        for j, w in enumerate(sides):
+            for f, x in w.items():
+                self.weights[self.weight_of[f], j] = x
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.known_chars = {"": 0}, 0  # "" stands for no token and has no vectors
+        self.table = np.zeros((1024, 3, len(self.model.labels)))
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """The tokens' rows of the table of vectors, valid until the next call."""
+        if len(self.known) > KNOWN or self.known_chars > KNOWN_CHARS:
+            self.forget()
+        new, used, starts = set(tokens) - self.known.keys(), [], []
+        weight_of, features = self.weight_of.get, self.features
+        for t in new:
+            starts.append(len(used))
+            used.append(0)
+            used += [weight_of(f, 0) for f in features(t)]  # row 0 is of none
+        if new:
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+            self.known_chars += sum(map(len, new))
+            if len(self.known) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(self.known), *self.table.shape[1:]))])
+            self.table[at : at + len(new)] = np.add.reduceat(self.weights[used], starts)
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+    def label(self, texts: list[str], token: re.Pattern, docs: list[np.ndarray]) -> list[list[tuple[str, int, int]]]:
+        """(label, start, end) of every token of each text whose best label is not O; docs: the texts' vectors.
+
+        All tokens of all texts are scored. Where O is sure the chain is cut, and the rest is decoded.
+        """
+        labels, o = self.model.labels, self.model.labels.index("O")
+        number, before = [0] * len(texts), [""] * len(texts)
+        parts: list[list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]] = [[] for _ in texts]
+        for block in blocks(texts, token):
+            flat, at = [], []
+            for n, a, b in block:
+                found, behind = token.findall(texts[n], a, b), token.search(texts[n], b)
+                at.append((len(flat) + 1, len(flat) + 1 + len(found)))
+                flat += [before[n], *found, behind[0] if behind else ""]
+                before[n] = found[-1] if found else before[n]
+            r = self.rows(flat)
+            e = np.zeros((len(flat), len(labels)))
+            e[1:-1] = self.table[r[1:-1], 0] + self.table[r[:-2], 1] + self.table[r[2:], 2]
+            for (n, _, _), (s, t) in zip(block, at, strict=True):
+                e[s:t] += docs[n]
+            sure = surely_o(self.model, e)
+            for (n, a, b), (s, t) in zip(block, at, strict=True):
+                if t > s and flat[t]:
+                    sure[t - 1] = False  # the emission behind it is in the next block
+                left = np.flatnonzero(~sure[s:t])
+                if len(left):
+                    where = [m.span() for m in token.finditer(texts[n], a, b)]
+                    parts[n].append((left + number[n], e[s:t][left], [where[x] for x in left]))
+                number[n] += t - s
+        runs = []
+        for n, found in enumerate(parts):
+            if found:
+                left, e, where = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), [y for x in found for y in x[2]]
+                cuts = [0, *(np.flatnonzero(np.diff(left) > 1) + 1), len(left)]
+                for s, t in zip(cuts, cuts[1:], strict=False):
+                    if left[s] > 0:
+                        e[s] += self.model.trans[o] - self.model.start
+                    if left[t - 1] + 1 < number[n]:
+                        e[t - 1] += self.model.trans[:, o]
+                    runs.append((n, e[s:t], where[s:t]))
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for (n, _, where), path in zip(runs, self.paths([e for _, e, _ in runs]), strict=True):
+            out[n] += [(labels[x], *span) for x, span in zip(path, where, strict=True) if x != o]
+        return out
+
+    def paths(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """Best label numbers of each sequence (t, k)."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
+        order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))
+        while order:
+            part = order[:BATCH]
+            while len(part) > 1 and len(part) * len(emissions[part[-1]]) > 200_000:
+                part = part[: len(part) // 2]
+            order = order[len(part) :]
+            lengths = np.array([len(emissions[i]) for i in part])
+            e = np.zeros((len(part), lengths.max(), len(self.model.labels)))
+            for r, i in enumerate(part):
+                e[r, : lengths[r]] = emissions[i]
+            for i, path, n in zip(part, viterbi(self.model, e, lengths), lengths, strict=True):
+                out[i] = path[:n]
+        return out
 
     def of(self, token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got = self.cache.get(token)

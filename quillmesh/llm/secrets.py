@@ -1,10 +1,9 @@
 """Secret scans: exact patterns, and a linear-chain conditional random field that tags tokens as secret
 begin, inside or outside from shape, neighbouring words and file features.
 
-Trained in the driver from a small labelled table made by rule with a fixed seed. A token is decoded if it has a digit,
-'=' or '_', if its letters change case twice or more, or if it follows a cue word ('password', 'bearer', ...), with a sign
-like '=' or ':' between them or not; all others are fixed to O. Spans that the field adds have the kind 'secret' and
-never overlap a base span; base spans always stay.
+Trained in the driver from small labelled tables made by rule with fixed seeds, one of lines with secrets or numbers and
+one of plain words, names and paths. Every token of a text is scored and decoded. Spans that the field adds have the kind
+'secret' and never overlap a base span; base spans always stay.
 
 Null text: no spans. Empty text: no spans. Extra columns pass through; a column named as the output is replaced.
 Repeated rows each get their own result. An empty table gives an empty table.
@@ -38,14 +37,9 @@ ASSIGN = re.compile(f"(?:{'|'.join(map(_either, KEYWORDS))}|{_either('api')}_?{_
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 DIGIT = re.compile(r"[0-9]")
-CARRIES = re.compile(r"[0-9=_]")
-CUES = frozenset(["token", "secret", "password", "passwd", "passphrase", "pwd", "key", "bearer", "apikey", "authorization", "credentials"])
-#: Letters only, but with a capital after a small letter twice or more, as no word has.
-MIXED = re.compile(r"[a-z][A-Z].*[a-z][A-Z]")
-HUMP = re.compile("[a-z][A-Z]")
 TOKEN = re.compile(r"[^\s\"'`,;(){}<>\[\]]+")
 EDGE = ".:!?|*&$%#"
-CODE = re.compile(r"[{};=]")
+CODE = "{};="
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -56,13 +50,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+#: c / n * log2(c / n) by n and c, for the lengths that nearly all tokens have.
+TERMS = [[0.0, *(c / n * math.log2(c / n) for c in range(1, n + 1))] for n in range(33)]
+
+
 def _entropy(token: str) -> float:
     n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) if n else 0.0
+    if n < len(TERMS):
+        return -sum(map(TERMS[n].__getitem__, map(token.count, dict.fromkeys(token))))
+    return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
+
+
+def _word_shape(core: str) -> str | None:
+    """crf.shape of small letters, capitals or a capital before small letters; None for all else."""
+    if not core.isalpha():
+        return None
+    if core.islower():
+        return "x"
+    if core[0].isupper() and core[1:].islower():
+        return "Xx"
+    return "X" if core.isascii() and core.isupper() else None
 
 
 def features(token: str) -> list[str]:
     core = token.strip(EDGE)
+    if shape := _word_shape(core):  # the same as below, for most tokens
+        length = min(len(core), 64) // 8
+        out = ["b", f"l={length}", f"h={int(2 * _entropy(core))}", f"m={shape}", f"m={shape},l={length}", "r=0", f"s={shape}"]
+        return [*out, "w=" + core.lower()] if len(core) < 16 else out
     digits = len(DIGIT.findall(core))
     mixed = "".join(k for k, f in (("d", str.isdigit), ("X", str.isupper), ("x", str.islower)) if any(map(f, core)))
     out = ["b", f"l={min(len(core), 64) // 8}", f"h={int(2 * _entropy(core))}", f"m={mixed}", f"m={mixed},l={min(len(core), 64) // 8}", f"r={10 * digits // max(1, len(core))}"]
@@ -81,7 +96,7 @@ def features(token: str) -> list[str]:
 def file_features(text: str) -> list[str]:
     """Of a whole document: how much of it looks like code, and how long its lines are."""
     lines = text.count("\n") + 1
-    return [f"code={min(3, 20 * len(CODE.findall(text)) // (len(text) + 1))}", f"line={min(4, len(text) // lines // 40)}"]
+    return [f"code={min(3, 20 * sum(map(text.count, CODE)) // (len(text) + 1))}", f"line={min(4, len(text) // lines // 40)}"]
 
 
 def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[list[str], list[str], list[str]]]:
@@ -125,57 +140,42 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[list[str], lis
     return out
 
 
+def plain_table(rows: int = 400, seed: int = 12) -> list[tuple[list[str], list[str], list[str]]]:
+    """As labelled_table, without secrets: words of any case and length, signs, names, paths and addresses of letters."""
+    r = Random(seed)
+    word = lambda: "".join(r.choice(["an", "er", "on", "th", "re", "la", "de", "ch", "ou", "ing", "é", "schaft"]) for _ in range(r.randint(1, 3)))
+    long = lambda: "".join(word() for _ in range(r.randint(1, 5)))
+    forms = [
+        word, long, lambda: long().capitalize(), lambda: long().upper(), lambda: word().capitalize() + word().capitalize(), lambda: r.choice(["!!", "...", "--", "*", "?", "/", "##"]), lambda: f"{long()}-{long()}",
+        lambda: r.choice(["http", "https"]) + f"://www.{word()}.org/" + "/".join(long() for _ in range(r.randint(0, 4))) + r.choice(["", "/", ".html"]), lambda: f"{word()}.{word()}@{word()}.com", lambda: f"{long()}/{long()}.{word()}", lambda: f"{word()}.{word().capitalize()}.{long()}",
+    ]
+    out = []
+    for _ in range(rows):
+        tokens = [r.choice(forms)() for _ in range(r.randint(3, 9))]
+        out.append((tokens, ["O"] * len(tokens), r.choice([["code=0", "line=1"], ["code=0", "line=4"], ["code=1", "line=0"], ["code=2", "line=0"]])))
+    return out
+
+
 def fit(table: list[tuple[list[str], list[str], list[str]]] | None = None) -> crf.Crf:
-    return crf.train([([features(t) for t in tokens], tags, doc) for tokens, tags, doc in table or labelled_table()], LABELS)
-
-
-def runs_of(text: str) -> list[tuple[str | None, list[re.Match], str | None]]:
-    """(token before, tokens, token after) of every maximal run of tokens that are decoded.
-
-    What a text has of cue words and mixed letters is looked up once, so most tokens are only searched for a digit.
-    """
-    out, run, before, cued = [], [], None, False
-    low = text.lower()
-    cues, humps = any(c in low for c in CUES), HUMP.search(text) is not None
-    if not cues and not humps and not CARRIES.search(text):
-        return out
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if CARRIES.search(token) or cued and len(token) > 7 or humps and MIXED.search(token):
-            run.append(m)
-        else:
-            if run:
-                out.append((before, run, token))
-                run = []
-            before = token
-        if cues:
-            core = token.strip(EDGE + "=").lower()
-            cued = core in CUES or cued and not core
-    return [*out, (before, run, None)] if run else out
+    return crf.train([([features(t) for t in tokens], tags, doc) for tokens, tags, doc in table or labelled_table() + plain_table()], LABELS)
 
 
 def tagged_spans(texts: list[str], tagger: crf.Tagger) -> list[list[tuple[int, int]]]:
     """The random field's spans of each text, without surrounding punctuation."""
-    runs, where = [], []
-    for n, text in enumerate(texts):
-        found = runs_of(text)
-        doc = tagger.model.document(file_features(text)) if found else None
-        for before, run, after in found:
-            runs.append((before, [x[0] for x in run], after, doc))
-            where.append((n, run))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for (n, run), tags in zip(where, tagger.decode(runs), strict=True):
-        open_at = None
-        for i, tag in enumerate([*tags, "O"]):
-            if open_at is not None and not tag.startswith("I"):
-                s, e = run[open_at].start(), run[i - 1].end()
-                while e > s and texts[n][e - 1] in EDGE:
-                    e -= 1
-                if e > s:
-                    out[n].append((s, e))
-                open_at = None
+    docs = [tagger.model.document(file_features(x)) for x in texts]
+    for n, found in enumerate(tagger.label(texts, TOKEN, docs)):
+        wide: list[tuple[int, int]] = []
+        for tag, s, e in found:
             if tag.startswith("B"):
-                open_at = i
+                wide.append((s, e))
+            else:
+                wide[-1] = (wide[-1][0], e)
+        for s, e in wide:
+            while e > s and texts[n][e - 1] in EDGE:
+                e -= 1
+            if e > s:
+                out[n].append((s, e))
     return out
 
 

@@ -70,6 +70,37 @@ def test_letters_after_a_cue_are_decoded():
         assert cut(plain) == [], plain
 
 
+def test_every_token_of_a_text_is_decoded(documents, monkeypatch):
+    """Labels of secrets' field against one Viterbi run over all tokens of a text, in one block and in many."""
+    tagger = crf.Tagger(secrets.fit(), secrets.features)
+    key = "QKZJXWVBNMASDFGHJKLQWERTYUIOPZXCVBNMLKJH"
+    assert [secrets.tagged_spans([t], tagger)[0] for t in (f"use {key} for it", key)] == [[(4, 44)], [(0, 40)]]
+    mixed = ["ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8", key, "password", "AbcdEfghKl", "The", "=", "!!", "12", "https://www.example.org/some/path", "é", "JavaScript"]
+    texts = [" ".join(mixed[(i * j + i) % len(mixed)] for j in range(i)) for i in range(40)] + [key + " " + (key + ",\n") * 30]
+    texts += [r["text"] or "" for r in documents.orderBy("doc_id").limit(60).collect()]
+    docs = [tagger.model.document(secrets.file_features(t)) for t in texts]
+    want = []
+    for t, doc in zip(texts, docs, strict=True):
+        found = list(secrets.TOKEN.finditer(t))
+        tags = tagger.decode([(None, [m[0] for m in found], None, doc)])[0] if found else []
+        want.append([(x, *m.span()) for x, m in zip(tags, found, strict=True) if x != "O"])
+    assert tagger.label(texts, secrets.TOKEN, docs) == want and sum(map(len, want)) > 60
+    monkeypatch.setattr(crf, "PIECE", 50)
+    monkeypatch.setattr(crf, "KNOWN", 20)
+    assert tagger.label(texts, secrets.TOKEN, docs) == want
+
+
+def test_plain_words_stay_plain():
+    tagger = crf.Tagger(secrets.fit(), secrets.features)
+    for t in ("THE END!! OF THIS, AND MORE", "Datenschutzgrundverordnung gilt. Ein Wort", "see https://www.example.org/some/path/index.html now", "Une élève. Immédiatement après", "write to jane.doe@mail.example.com"):
+        assert secrets.tagged_spans([t], tagger) == [[]], t
+    found = wrong = 0
+    for tokens, _, doc in secrets.plain_table(300, 99):
+        wrong += sum(x != "O" for x in tagger.decode([(None, tokens, None, tagger.model.document(doc))])[0])
+        found += len(tokens)
+    assert wrong < found / 200
+
+
 def test_fields_are_accurate_on_rows_they_have_not_seen():
     """Spans of a labelled table of another seed: found and not found, token by token."""
     for operator in (pii, secrets):
