@@ -92,14 +92,22 @@ def file_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\.(pdf|json|csv|xlsx|txt|png|jpe?g|pbf)$", ""), "[^a-z0-9]", "")
 
 
+#: The most bytes of names and their runs that are broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
 def match_files(names: DataFrame, docs: DataFrame, size: int = 6) -> DataFrame:
     """names (name), docs (doc, file) -> name, doc: the first document whose key ends in, begins, or holds the other.
 
     A key that holds another has all runs of `size` of its characters: the pairs that are compared share the first run of
-    the shorter key. Keys shorter than that meet as themselves, over every run of their length.
+    the shorter key. Keys shorter than that meet as themselves, over every run of their length. Documents of one key meet
+    once, as the first of them. Names of few bytes, by their counted letters, are broadcast and documents never leave the
+    scan with their runs; of more names neither side is broadcast, whatever it shrinks to when it is compressed.
     """
-    key = lambda x, c, out: x.select(c, file_key(F.col(x.columns[-1])).alias(out)).where(F.col(out) != "").distinct()
-    n, d = key(names.select("name", F.col("name").alias("_raw")), "name", "_n"), key(docs.select("doc", "file"), "doc", "_d")
+    n = names.select("name", file_key(F.col("name")).alias("_n")).where("_n <> ''").distinct()
+    d = docs.select("doc", file_key(F.col("file")).alias("_d")).where("_d <> ''").groupBy("_d").agg(F.min("doc").alias("doc"))
+    a_run = F.length("_n").cast("long") + F.length("name") + size + 64
+    few = n.agg(F.coalesce(F.sum(size * F.length("_n") * a_run), F.lit(0))).first()[0] <= BROADCAST_BYTES
 
     def meeting(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
         """Pairs whose inner key stands in the outer one, of all lengths up to size and beyond."""
@@ -107,7 +115,9 @@ def match_files(names: DataFrame, docs: DataFrame, size: int = 6) -> DataFrame:
         short = inner.withColumn("_gram", F.substring(F.col(i), F.lit(1), k))
         lengths = F.sequence(F.lit(1), F.least(F.lit(size), F.length(o)))
         grams = F.flatten(F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(1), F.length(o) - m + 1), lambda p: F.substring(F.col(o), p, m))))
-        return outer.withColumn("_gram", F.explode(F.array_distinct(grams))).join(short, "_gram").where(F.col(o).contains(F.col(i)))
+        runs = outer.withColumn("_gram", F.explode(F.array_distinct(grams)))
+        own, other = (short, runs) if i == "_n" else (runs, short)
+        return other.join(F.broadcast(own) if few else own.hint("merge"), "_gram").where(F.col(o).contains(F.col(i)))
 
     hit = meeting(n, "_n", d, "_d").select("name", "doc").unionAll(meeting(d, "_d", n, "_n").select("name", "doc"))
     return hit.groupBy("name").agg(F.min("doc").alias("doc"))
