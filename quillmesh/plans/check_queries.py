@@ -20,6 +20,7 @@ _F = """f AS (SELECT q, l_orderkey AS d, k AS p, k AS rank, CASE WHEN q % 5 = 0
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of one order may share a number; their places tell their fragments apart."""
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("d"))
     d = o.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d"))).where(F.col("r") <= F.when(F.col("q") % 11 == 0, 2).otherwise(3))
     rank = F.when((F.col("q") % 7 == 0) & (F.col("r") == 2), 9).otherwise(F.col("r"))
@@ -27,7 +28,7 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), "l_linenumber").join(o, "d")
     f = l.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("d", "l_linenumber"))).where("k <= 10")
     n = F.when((F.col("q") % 5 == 0) & (F.col("k") == 1), 260).when(F.col("l_linenumber") == 2, 3).otherwise(20)
-    f = f.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.col("k").alias("rank"), F.concat("d", F.lit("-"), "l_linenumber").alias("chunk_id"), F.col("d").cast("string").alias("doc_id"), F.trim(F.repeat(F.lit("w "), n)).alias("text")))).alias("fragments"))
+    f = f.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.col("k").alias("rank"), F.concat("d", F.lit("-"), "l_linenumber", F.lit("-"), "k").alias("chunk_id"), F.col("d").cast("string").alias("doc_id"), F.trim(F.repeat(F.lit("w "), n)).alias("text")))).alias("fragments"))
     docs = F.transform("_d", lambda x: F.struct(x["rank"].alias("rank"), x["doc_id"].alias("doc_id")))
     return d.join(f, "q").select(F.col("q").alias("query_id"), docs.alias("documents"), "fragments")
 

@@ -35,3 +35,19 @@ def test_documents_of_one_file_key_meet_names_once(spark, monkeypatch, most):
     rows, runs = made(evaluation.match_files(names, docs), "GenerateExec")
     assert {r["name"]: r["doc"] for r in rows} == {"Report 1.pdf": 1, "an old report 22 of ours.csv": 5000, "ab": 4000}
     assert sum(runs) < 3000, runs
+
+
+def test_line_items_of_one_number_are_different_fragments(spark, tmp_path):
+    from quillmesh.plans import catalogue
+    from tests.compare import compare
+
+    spark.createDataFrame([(10, 3), (11, 9), (12, 9), (13, 15)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(10, 1), (10, 1), (11, 2), (11, 2), (12, 2), (13, 4)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = catalogue.queries()["result_differences"](spark, str(tmp_path))
+    ok, said = compare(df, con, catalogue.oracle_sql()["result_differences"])
+    assert ok and df.count() == 2, said
