@@ -123,6 +123,24 @@ def match_files(names: DataFrame, docs: DataFrame, size: int = 6) -> DataFrame:
     return hit.groupBy("name").agg(F.min("doc").alias("doc"))
 
 
+def holders(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rows (row_id, text), items (qid, text) -> qid, row_id: rows that hold an item word for word.
+
+    A text that holds an item has each piece between two of the item's blanks between two blanks, too. Rows meet an item
+    if they have its longest such piece; only items without one are looked for in every row.
+    """
+    q = items.select("qid", F.col("text").alias("_t"), F.split("text", " ").alias("_p"))
+    longest = F.reduce(F.expr("slice(_p, 2, size(_p) - 2)"), F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
+    long = q.where(F.size("_p") > 2).select("qid", "_t", longest.alias("_piece"))
+    short = q.where(F.size("_p") <= 2).select("qid", "_t")
+    pieces = long.agg(F.collect_set("_piece").alias("_pieces"))
+    near = rows.select("row_id", "text").join(F.broadcast(pieces)).select("row_id", "text", F.explode(F.array_intersect(F.split("text", " "), "_pieces")).alias("_piece"))
+    out = near.join(F.broadcast(long), "_piece").where(F.col("text").contains(F.col("_t"))).select("qid", "row_id")
+    if short.isEmpty():
+        return out
+    return out.unionAll(rows.join(F.broadcast(short), F.col("text").contains(F.col("_t"))).select("qid", "row_id"))
+
+
 def diagnose(systems: dict[str, DataFrame], known: DataFrame) -> DataFrame:
     """The probe of every system (name -> qid, doc, rnk) on the same known items: a row for each."""
     rows = [probe(results, known).select(F.lit(name).alias("system"), "*") for name, results in systems.items()]

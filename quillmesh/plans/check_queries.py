@@ -164,7 +164,7 @@ _SYSTEMS = f"""{retrieval_queries._HYBRID}, {retrieval_queries._GOLD}, k AS (SEL
     SELECT system, round(avg(CASE WHEN rnk <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(CASE WHEN rnk <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rnk, 0)), 6) AS mrr, round(avg(CASE WHEN rnk <= 10 THEN 1 / log2(rnk + 1) ELSE 0 END), 6) AS ndcg_10, count(*) AS n FROM a GROUP BY system""")
 def diagnose_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three systems on the same known items, in one table."""
-    lex, own = retrieval_queries.lexical(spark, sf_dir, 60), retrieval_queries._shared(spark, sf_dir, 60)
+    own, lex = retrieval_queries.both_lists(spark, sf_dir, 60)
     hybrid = vectors.ranked(bm25.hybrid(own, lex, 0.5).withColumn("score", F.round("score", 9)), "qid", "row_id")
     known = retrieval_queries._gold(spark, sf_dir).groupBy("qid").agg(F.min("row_id").alias("doc"))
     found = {"bm25": lex, "hybrid": hybrid, "shared": own}
@@ -232,7 +232,7 @@ def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT w AS weight, k0, round(avg(CASE WHEN r.rnk <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(coalesce(1.0 / r.rnk, 0)), 6) AS mrr FROM w JOIN depth ON true JOIN k ON true LEFT JOIN r USING (w, k0, qid, row_id) GROUP BY w, k0""")
 def ablation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the lexical list and depths of reciprocal ranks, all combinations on the same lists."""
-    lists = [x.select("qid", "row_id", "rnk") for x in (retrieval_queries._shared(spark, sf_dir, 60), retrieval_queries.lexical(spark, sf_dir, 60))]
+    lists = [x.select("qid", "row_id", "rnk") for x in retrieval_queries.both_lists(spark, sf_dir, 60)]
     known = retrieval_queries._gold(spark, sf_dir).groupBy("qid").agg(F.min("row_id").alias("doc"))
     grid = spark.createDataFrame([(w, k) for w in (0.0, 0.5, 1.0, 1.5) for k in (10, 60)], "weight double, k0 int")
     return evaluation.sweep(lists[0], lists[1], grid, known).select("weight", "k0", F.round("recall_3", 6).alias("recall_3"), F.round("mrr", 6).alias("mrr"))

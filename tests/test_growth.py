@@ -51,3 +51,26 @@ def test_line_items_of_one_number_are_different_fragments(spark, tmp_path):
     df = catalogue.queries()["result_differences"](spark, str(tmp_path))
     ok, said = compare(df, con, catalogue.oracle_sql()["result_differences"])
     assert ok and df.count() == 2, said
+
+
+@pytest.mark.parametrize("name", ["ablation_weights", "f1_at_3", "gold_evaluation", "ablation_fusion", "diagnose_systems", "mrr_known_item", "ndcg_at_10", "toc_demote", "hybrid_rrf", "bm25_doc_top3"])
+def test_documents_are_cut_into_tokens_once(spark, sf_dir, monkeypatch, name):
+    from quillmesh.operators import bm25
+    from quillmesh.plans import catalogue
+
+    cuts = []
+    bags = bm25.bags
+    monkeypatch.setattr(bm25, "bags", lambda rows: cuts.append(1) or bags(rows))
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    # the lists, and the documents that hold an item, are short and written: what is left has no document to cut or to search
+    assert len(cuts) == 1
+    assert "lower(text" not in plan and "contains(text" not in plan
+
+
+def test_rows_that_hold_an_item(spark):
+    texts = ["one two three four", "xone two threex", "a  b c", "a  b", "", None, "zz one two", "two  three", "q a  b"]
+    items = ["one two three", "a  b", "a  b c", "two", "", "e two t", " two ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "qid long, text string")
+    got = sorted(map(tuple, evaluation.holders(rows, asked).collect()))
+    assert got == sorted((i, j) for i, q in enumerate(items) for j, t in enumerate(texts) if q is not None and t is not None and q in t)
