@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import bm25, chunking, evaluation, graph, ranking, validation, vectors
 from quillmesh.plans import graph_queries, retrieval_queries
-from quillmesh.plans.registry import query, read
+from quillmesh.plans.registry import query, read, written
 
 # Results made from orders: a query is a customer, its documents are the first three orders, its fragments line items.
 # Planted: every 7th customer has a wrong rank, every 11th lacks its third document, every 5th a text of 260 words.
@@ -118,11 +118,10 @@ _FACTS = "typed AS (SELECT DISTINCT l_orderkey AS row_id, p_brand AS s, 'made_as
     SELECT s, r, o, count(*) AS weight, count(DISTINCT row_id % 97) AS n_docs FROM facts GROUP BY s, r, o""")
 def typed_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of a relation finder join the graph; their pairs don't co-occur in the same row."""
-    e = graph_queries._entities(spark, sf_dir)
+    e = graph_queries._with_docs(written(graph_queries._entities(spark, sf_dir), "entities"))
     p = read(spark, sf_dir, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("s"), F.lit("made_as").alias("r"), F.col("p_type").alias("o"))
-    facts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_partkey").join(p, "l_partkey").select("row_id", "s", "r", "o").distinct()
-    rows = e.select("row_id", (F.col("row_id") % 97).alias("doc")).distinct()
-    return graph.triples(graph.facts_of(e, facts), rows).select("s", "r", "o", "weight", "n_docs")
+    facts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_partkey").join(p.hint("merge"), "l_partkey").select("row_id", "s", "r", "o").distinct()
+    return graph.triples(graph.facts_of(e, facts), keep=written).select("s", "r", "o", "weight", "n_docs")
 
 
 @query(f"WITH {graph_queries._EDGES}, x AS (SELECT unnest(evidence) AS row_id, s, o FROM edges) SELECT DISTINCT unnest([s, o]) AS canonical, row_id FROM x")

@@ -74,3 +74,30 @@ def test_rows_that_hold_an_item(spark):
     asked = spark.createDataFrame(list(enumerate(items)), "qid long, text string")
     got = sorted(map(tuple, evaluation.holders(rows, asked).collect()))
     assert got == sorted((i, j) for i, q in enumerate(items) for j, t in enumerate(texts) if q is not None and t is not None and q in t)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_evidence_is_ranked_up_to_the_first_rows_of_docs(spark, monkeypatch, most):
+    from collections import defaultdict
+
+    from quillmesh.operators import graph
+
+    monkeypatch.setattr(graph, "BROADCAST_TRIPLES", most, raising=False)
+    monkeypatch.setattr(graph, "ENTITIES_IN_A_TASK", 500, raising=False)
+    own = [(i, f"n{j}", f"d{i % 23}" if j < 3 else f"d{i % 23}") for i in range(1000) for j in range(4) if (i * (j + 3)) % 7 < 3 + j]
+    own += [(5000 + i, c, "one") for i in range(40) for c in ("x", "y")] + [(6000, c, None) for c in ("x", "y")]
+    ents = spark.createDataFrame([(i, c, d) for i, c, d in own], "row_id long, canonical string, doc string")
+    rows_of, doc = defaultdict(set), {}
+    for i, c, d in own:
+        rows_of[i].add(c)
+        doc[i] = d
+    want = defaultdict(list)
+    for i, cs in sorted(rows_of.items()):
+        for a in cs:
+            for b in cs:
+                if a < b:
+                    want[a, b].append(i)
+    facts = graph.co_occurrences(ents)
+    assert facts.rdd.getNumPartitions() == -(-len(own) // 500)
+    got = {(r["s"], r["o"]): (r["weight"], r["n_docs"], r["evidence"]) for r in graph.triples(facts).collect()}
+    assert got == {k: (len(v), len({doc[i] for i in v} - {None}), v[:8]) for k, v in want.items()}
