@@ -101,3 +101,69 @@ def test_evidence_is_ranked_up_to_the_first_rows_of_docs(spark, monkeypatch, mos
     assert facts.rdd.getNumPartitions() == -(-len(own) // 500)
     got = {(r["s"], r["o"]): (r["weight"], r["n_docs"], r["evidence"]) for r in graph.triples(facts).collect()}
     assert got == {k: (len(v), len({doc[i] for i in v} - {None}), v[:8]) for k, v in want.items()}
+
+
+def test_expansion_equals_a_plain_walk_over_odd_rows(spark):
+    """Words of each row, blanks, gaps and long rows of few or many sentences: neighbours as far as they fit, then sentences."""
+    import random
+
+    from quillmesh.operators import ranking
+
+    r = random.Random(3)
+    target, rows = 40, []
+    for doc in range(6):
+        pos = 0
+        for _ in range(60):
+            pos += 1 + (r.random() < 0.05)
+            n = r.choice([0, 1, 2, 3, 9, 20, 39, 40, 41, 90, 400])
+            words = [f"w{doc}{pos}{k}" + (". " if r.random() < r.choice([0.02, 0.9]) else " ") for k in range(n)]
+            rows.append((len(rows), doc, pos, "".join(words).strip() or r.choice(["", " ", None])))
+    at = {(d, p): (t or "") for _, d, p, t in rows}
+
+    def cut(t):
+        import re
+
+        return [s for s in re.split(r"(?<=[.!?])\s+", t.strip()) if s]
+
+    def walk(doc, pos):
+        text = at[doc, pos]
+        total, step, out = len(text.split()), {1: 1, -1: 1}, {1: [], -1: []}
+        if total >= target:
+            return text
+        grew = True
+        while grew:
+            grew = False
+            for side in (1, -1):
+                t = at.get((doc, pos + side * step[side]))
+                if t is not None and total + len(t.split()) <= target:
+                    out[side].append(t)
+                    total += len(t.split())
+                    step[side] += 1
+                    grew = True
+        for side in (1, -1):
+            t = at.get((doc, pos + side * step[side]))
+            if t is not None and target - total >= ranking.LEAST_ROOM:
+                part = []
+                for s in cut(t)[::side]:
+                    if total + len(s.split()) > target:
+                        break
+                    part.append(s)
+                    total += len(s.split())
+                if part:
+                    out[side].append(" ".join(part[::side]))
+        return ranking.join_pieces([*out[-1][::-1], text, *out[1]])
+
+    df = spark.createDataFrame(rows, "row_id long, doc long, pos long, text string")
+    got = {x["row_id"]: x["text"] for x in ranking.expand(df.select("row_id"), df, target).collect()}
+    assert got == {i: walk(d, p) for i, d, p, _ in rows}
+
+
+def test_python_gets_few_objects_at_a_time(spark):
+    from quillmesh.functions import text as T
+    from quillmesh.operators import ranking
+
+    df = spark.createDataFrame([(i, 1, i, "a b. c d") for i in range(5)], "row_id long, doc long, pos long, text string")
+    plan = ranking.expand(df.select("row_id"), df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    keys = spark.createDataFrame([(i, None if i == 70 else f"  Ñandú-{i}_ﬁ  ") for i in range(200)], "i int, t string").repartition(1).select("i", T.comparison_key("t").alias("k"))
+    assert {r["i"]: r["k"] for r in keys.collect()} == {i: None if i == 70 else f"nandu {i} fi" for i in range(200)}
