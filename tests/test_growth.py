@@ -167,3 +167,22 @@ def test_python_gets_few_objects_at_a_time(spark):
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
     keys = spark.createDataFrame([(i, None if i == 70 else f"  Ñandú-{i}_ﬁ  ") for i in range(200)], "i int, t string").repartition(1).select("i", T.comparison_key("t").alias("k"))
     assert {r["i"]: r["k"] for r in keys.collect()} == {i: None if i == 70 else f"nandu {i} fi" for i in range(200)}
+
+
+def test_keys_equal_the_decomposition_of_every_character(spark):
+    import unicodedata
+
+    from quillmesh.functions import text as T
+
+    def key(t):
+        plain = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+        return " ".join("".join(c if c.isdigit() or "a" <= c <= "z" else " " for c in plain).split())
+
+    each = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]) if ord(c) < 0x3000 or unicodedata.decomposition(c)]
+    texts = ["x" + c + "Y1" for c in each] + ["".join(each[i : i + 50]) for i in range(0, len(each), 50)] + ["", " ", "a\x01b", "é\x01b", "ﬁ\x01x", "ȩ́ A", "İİß"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i long, t string")
+    got = {r["i"]: r["k"] for r in df.select("i", T.comparison_key("t").alias("k")).collect()}
+    assert got.pop(-1) is None
+    assert {i: k for i, k in got.items() if k != key(texts[i])} == {}
+    plain = spark.createDataFrame([("Ñandú… née",)], "t string")
+    assert plain.where(T.comparison_key("t") == "nandu nee").count() == 1
